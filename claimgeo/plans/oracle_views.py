@@ -155,6 +155,14 @@ _ranges = ", ".join(f"({lo}, {hi}, '{lab}')" for lo, hi, lab in __import__(
 VIEWS["cat_ranges"] = f"""
   SELECT * FROM (VALUES {_ranges}) t(lo, hi, label)"""
 
+_K = __import__("claimgeo.functions.constants", fromlist=["x"])
+_layers = ", ".join(f"('{c}', '{k}', '{_K.LAYER_LABELS[k]}')" for c, k in _K.CATEGORY_TO_LAYER.items())
+VIEWS["layer_map"] = f"""
+  SELECT * FROM (VALUES {_layers}) t(category, layer, label)"""
+_names = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in _K.STATE_POSTAL_TO_NAME.items())
+VIEWS["state_names"] = f"""
+  SELECT * FROM (VALUES {_names}) t(postal, state_name)"""
+
 # Categorised base, one row per merged claim row.
 VIEWS["v_base"] = """
   SELECT NULLIF(b.county_fips, '') AS county_fips,
