@@ -35,8 +35,8 @@ def dedupe_addresses(df: DataFrame, parts: list[str] = ADDRESS_PARTS,
     g = df.select(*parts, claims, paid, *norm)
     agg = g.groupBy(*[f"{p}__n" for p in parts]).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(claims).alias("n_claims"),
-        F.sum(paid).alias("total_paid"),
+        F.sum(claims).cast("bigint").alias("n_claims"),
+        F.sum(paid).cast("decimal(38,2)").alias("total_paid"),
         *[F.min(p).alias(p) for p in parts],
     )
     return agg.select(
@@ -52,34 +52,45 @@ def top_addresses(addresses: DataFrame, n: int) -> DataFrame:
     return addresses.orderBy(F.desc("n_claims"), F.asc("address_id")).limit(n)
 
 
+def global_rank(df: DataFrame, order: list, n_parts: int | None = None) -> DataFrame:
+    """A 1-based rank over the whole frame under a total ``order``, without
+    a single-partition window.
+
+    The frame is range-partitioned and sorted by ``order`` (a distributed
+    sort); each partition numbers its own rows, a tiny table of partition
+    row counts (one row per partition) gives each partition's offset, and
+    rank = offset + local number. Every step is bounded by a partition.
+    """
+    sorted_df = (df.repartitionByRange(n_parts, *order) if n_parts else df.repartitionByRange(*order)) \
+        .sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    local = sorted_df.withColumn(
+        "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
+    counts = sorted_df.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        "__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
+    return (local.join(F.broadcast(offsets), "__pid")
+                 .withColumn("rank", F.col("__off") + F.col("__rn"))
+                 .drop("__pid", "__rn", "__off"))
+
+
 def concentration(addresses: DataFrame, value: str = "n_claims",
                   shares: tuple[int, ...] = (1, 10), key: str = "address_id") -> DataFrame:
     """Share of ``value`` held by the top 1 % / 10 % of addresses
-    (``max(1, n // (100/share))`` of them, ranked by value desc, id asc),
-    plus the row-reduction factor ``rows / addresses``.
+    (``max(1, n * share // 100)`` of them, ranked by value desc, id asc),
+    plus the row-reduction factor ``rows / addresses``. One row.
 
-    The rank is a global ``row_number``; on a sorted frame that is a range
-    partitioned sort, not a single-partition window. The result is one row.
+    The ranking is :func:`global_rank` (range-partitioned sort); the count
+    is a scalar subquery, so nothing passes through the driver.
     """
-    # percent_rank-free formulation: the k-th rank threshold per share.
-    ranked = addresses.select(
-        F.col(value).alias("v"), F.col("n_rows").alias("r"),
-        F.row_number().over(Window.orderBy(F.desc(value), F.asc(key))).alias("rk"))
-    n_addr = F.count(F.lit(1))
-    out = [n_addr.alias("n_addresses"), F.sum("r").alias("n_rows"),
-           F.sum("v").alias("total_value")]
-    for s in shares:
-        out.append(F.max(F.lit(0)).alias(f"_dummy{s}"))
-    agg = ranked.agg(*out[:3])
-    # second pass: join the count back as a scalar subquery
-    n = agg.select("n_addresses").scalar()
-    exprs = []
+    ranked = global_rank(addresses.select(key, F.col(value).alias("v"), F.col("n_rows").alias("r")),
+                         [F.desc("v"), F.asc(key)])
+    n = addresses.select(F.count(F.lit(1))).scalar()
+    exprs = [F.count(F.lit(1)).alias("n_addresses"), F.sum("r").alias("n_rows"), F.sum("v").alias("total_value")]
     for s in shares:
         kth = F.greatest(F.lit(1), F.floor(n * F.lit(s) / F.lit(100)))
-        exprs.append(F.sum(F.when(F.col("rk") <= kth, F.col("v")).otherwise(0)).alias(f"top{s}_value"))
-    tops = ranked.agg(*exprs, F.count(F.lit(1)).alias("n_addresses"), F.sum("r").alias("n_rows"),
-                      F.sum("v").alias("total_value"))
-    cols = [F.col("n_addresses"), F.col("n_rows"),
+        exprs.append(F.sum(F.when(F.col("rank") <= kth, F.col("v")).otherwise(0)).alias(f"top{s}_value"))
+    tops = ranked.agg(*exprs)
+    cols = [F.col("n_addresses"), F.col("n_rows").cast("bigint").alias("n_rows"),
             F.round(F.col("n_rows") / F.col("n_addresses"), 6).alias("reduction_factor")]
     for s in shares:
         cols.append(F.round(F.lit(100.0) * F.col(f"top{s}_value") / F.col("total_value"), 6)
