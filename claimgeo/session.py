@@ -20,6 +20,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.session.timeZone": "UTC",
+    # Small local inputs: keep the size-checked broadcast for dimensions
+    # but stop a file-size estimate from broadcasting a fact table.
+    "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
 }
 
 
