@@ -92,9 +92,14 @@ def enrollment_by(df: DataFrame, level: str, parent_map: DataFrame | None = None
         F.sum("medicaid_enrollees").cast("bigint").alias("medicaid_enrollees"))
 
 
-def attach_denominator(df: DataFrame, denom: DataFrame, key: str = "key", period: str = "period") -> DataFrame:
-    """Left join of (region, year of the period) to the denominator;
-    monthly periods reuse their year's value."""
-    d = denom.select(F.col("region_id").alias("__rid"), F.col("year").alias("__yr"), "medicaid_enrollees")
-    j = df.join(d, (F.col(key) == F.col("__rid")) & (X.period_year(period) == F.col("__yr")), "left")
-    return j.drop("__rid", "__yr")
+def attach_denominator(df: DataFrame, denom: DataFrame, key: str = "key", period: str = "period",
+                       extra: list[str] = ()) -> DataFrame:
+    """Left join of (``extra``..., region, year of the period) to the
+    denominator; monthly periods reuse their year's value."""
+    d = denom.select(*[F.col(c).alias(f"__{c}") for c in extra],
+                     F.col("region_id").alias("__rid"), F.col("year").alias("__yr"), "medicaid_enrollees")
+    cond = (F.col(key) == F.col("__rid")) & (X.period_year(period) == F.col("__yr"))
+    for c in extra:
+        cond = cond & (F.col(c) == F.col(f"__{c}"))
+    j = df.join(d, cond, "left")
+    return j.drop("__rid", "__yr", *[f"__{c}" for c in extra])

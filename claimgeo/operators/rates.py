@@ -16,15 +16,16 @@ from .aggregate import MEASURES
 from .denominators import attach_denominator
 
 
-def layer_values(agg: DataFrame) -> DataFrame:
-    """Per (key, period, layer): the three sums; ``layer`` is a layer key or
-    ``all`` (which also counts categories without a layer)."""
+def layer_values(agg: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Per (``extra``..., key, period, layer): the three sums; ``layer`` is a
+    layer key or ``all`` (which also counts categories without a layer)."""
     g = agg.withColumn("layer", X.layer_key("category"))
     sums = [F.sum(m).alias(m) for m in MEASURES]
-    out = g.groupingSets([["key", "period", "layer"], ["key", "period"]], "key", "period", "layer") \
+    keys = [*extra, "key", "period"]
+    out = g.groupingSets([[*keys, "layer"], keys], *keys, "layer") \
         .agg(F.grouping("layer").alias("__g"), *sums)
     out = out.filter((F.col("__g") == 1) | F.col("layer").isNotNull())
-    return out.select("key", "period",
+    return out.select(*extra, "key", "period",
                       F.when(F.col("__g") == 1, F.lit("all")).otherwise(F.col("layer")).alias("layer"),
                       F.col("total_beneficiaries_served").cast("bigint").alias("total_beneficiaries_served"),
                       F.col("total_claims").cast("bigint").alias("total_claims"),
@@ -33,7 +34,7 @@ def layer_values(agg: DataFrame) -> DataFrame:
 
 def region_value(agg: DataFrame, period: str | None = None, layer: str | None = None,
                  metric: str = "claims", denom: DataFrame | None = None,
-                 universe: DataFrame | None = None) -> DataFrame:
+                 universe: DataFrame | None = None, extra: list[str] = ()) -> DataFrame:
     """Value per region for (period, layer, metric).
 
     With ``period`` and ``layer`` given, every region of ``universe``
@@ -41,7 +42,7 @@ def region_value(agg: DataFrame, period: str | None = None, layer: str | None =
     0; with them omitted, every present slice is returned. ``metric`` is
     ``claims`` or ``enrollees`` (claims per enrollee, NULL without a
     positive denominator)."""
-    v = layer_values(agg)
+    v = layer_values(agg, extra)
     if period is not None:
         v = v.filter(F.col("period") == period)
     if layer is not None:
@@ -50,12 +51,12 @@ def region_value(agg: DataFrame, period: str | None = None, layer: str | None =
         u = (universe if universe is not None else agg.select("key").distinct())
         u = u.select("key").withColumn("period", F.lit(period)).withColumn("layer", F.lit(layer))
         v = u.join(v, ["key", "period", "layer"], "left").fillna(0, subset=["total_claims"])
-    out = v.select("key", "period", "layer", "total_claims")
+    out = v.select(*extra, "key", "period", "layer", "total_claims")
     if metric == "claims":
         return out.withColumn("value", F.col("total_claims").cast("double"))
     if denom is None:
         raise ValueError("metric 'enrollees' needs a denominator")
-    out = attach_denominator(out, denom)
+    out = attach_denominator(out, denom, extra=extra)
     return out.withColumn("value", X.safe_rate("total_claims", "medicaid_enrollees", 6))
 
 

@@ -184,4 +184,4 @@ SELECT output, CAST(count(DISTINCT key) AS BIGINT) AS n_keys, CAST(count(*) AS B
 GROUP BY output"""))
 def output_counts(spark, sf):
     """A27 over K4: keys and records of all six outputs from one fine aggregate."""
-    return A.output_counts(A.all_aggregates(base(spark, sf)))
+    return A.output_counts(A.multi_level_aggregate(base(spark, sf), periods=("year", "year_month")))

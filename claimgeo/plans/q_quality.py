@@ -222,19 +222,21 @@ def id_buckets(spark, sf):
 # ---- colour scale -------------------------------------------------------------
 
 def _level_values(spark, sf, metric: str):
+    """Values of every (level, region, year, layer): one multi-level
+    aggregate, one grouping-sets pass for the layers and, for rates, one
+    join to the union of the three levels' denominators."""
     b = bind(spark, sf)
-    bs = base(spark, sf)
-    parts = []
-    denoms = {"state": D.enrollment_by(b.enroll_county, "state", A.fips_dimension(spark)),
-              "county": b.enroll_county, "zip3": D.enrollment_by(b.enroll_zcta, "zip3")}
-    for level, kcol in A.LEVEL_KEYS.items():
-        agg = A.category_aggregate(bs, kcol, "year")
-        v = R.region_value(agg, metric=metric, denom=denoms[level] if metric == "enrollees" else None)
-        parts.append(v.select(F.lit(level).alias("level"), "key", "period", "layer", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    multi = A.multi_level_aggregate(base(spark, sf), A.LEVEL_KEYS, ("year",))
+    denom = None
+    if metric == "enrollees":
+        parts = {"state": D.enrollment_by(b.enroll_county, "state", A.fips_dimension(spark)),
+                 "county": b.enroll_county, "zip3": D.enrollment_by(b.enroll_zcta, "zip3")}
+        denom = None
+        for level, d in parts.items():
+            d = d.select(F.lit(level).alias("level"), "region_id", "year", "medicaid_enrollees")
+            denom = d if denom is None else denom.unionByName(d)
+    v = R.region_value(multi, metric=metric, denom=denom, extra=["level"])
+    return v.select("level", "key", "period", "layer", "value")
 
 
 def _stops_sql(scope: str, top: float, gap: float, values_sql: str) -> dict[str, str]:
