@@ -31,29 +31,33 @@ def quantile_stops(values: DataFrame, scope: list[str], value: str = "value",
     qs = quantile_positions(metric)
     gap = K.MIN_GAP[metric]
     v = F.col(value).cast("double")
-    pos = values.select(*scope, v.alias("v")).filter(F.col("v").isNotNull() & (F.col("v") > 0))
-    w_all = Window.partitionBy(*scope)
-    ranked = pos.select(*scope, "v",
-                        F.row_number().over(w_all.orderBy("v")).alias("rn"),
-                        F.count(F.lit(1)).over(w_all).alias("n"))
-    targets = [F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) + 1 for q in qs]
-    picked = ranked.filter(F.array_contains(F.array(*[t.cast("long") for t in targets]),
-                                            F.col("rn").cast("long")))
+    pos = v.isNotNull() & (v > 0)
+    # One window over every row of a slice: positives sort first, so their
+    # row number is their rank among positives; n counts positives only.
+    # Non-positive rows keep the slice present (default stops) without a
+    # second pass over the input.
+    w = Window.partitionBy(*scope)
+    ranked = values.select(*scope, v.alias("v"), pos.alias("pos")).select(
+        *scope, "v", "pos",
+        F.row_number().over(w.orderBy(F.desc("pos"), F.asc("v"))).alias("rn"),
+        F.count_if("pos").over(w).alias("n"))
+    targets = F.array(*[(F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) + 1).cast("long") for q in qs])
+    picked = ranked.filter((F.col("rn") == 1) | (F.col("pos") & F.array_contains(targets, F.col("rn").cast("long"))))
     per = picked.groupBy(*scope).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("rn").cast("long"), "v"))).alias("m"),
-        F.first("n").alias("n"))
+        F.map_from_entries(F.collect_list(F.when(F.col("pos"), F.struct(F.col("rn").cast("long"), "v")))).alias("m"),
+        F.max("n").alias("n"))
     tcols = [F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))).cast("long") + 1 for q in qs]
     raw = F.array(*[F.element_at(F.col("m"), t) for t in tcols])
     folded = F.aggregate(
         F.slice(raw, 2, K.N_STOPS - 1), F.array(F.element_at(raw, 1)),
         lambda acc, x: F.concat(acc, F.array(
             F.when(x > F.element_at(acc, -1), x).otherwise(F.element_at(acc, -1) + F.lit(gap)))))
-    stops = per.select(*scope, folded.alias("stops"))
-    slices = universe if universe is not None else values.select(*scope).distinct()
-    out = slices.join(stops, scope, "left")
     default = F.array(*[F.lit(float(x)) for x in K.DEFAULT_STOPS])
-    out = out.withColumn("stops", F.coalesce(F.col("stops"), default))
-    return out.select(*scope, *[F.col("stops")[i].alias(f"s{i}") for i in range(K.N_STOPS)])
+    stops = per.select(*scope, F.when(F.col("n") > 0, folded).otherwise(default).alias("stops"))
+    if universe is not None:
+        stops = universe.select(*scope).join(stops, scope, "left").withColumn(
+            "stops", F.coalesce(F.col("stops"), default))
+    return stops.select(*scope, *[F.col("stops")[i].alias(f"s{i}") for i in range(K.N_STOPS)])
 
 
 def color_class(values: DataFrame, stops: DataFrame, scope: list[str], value: str = "value") -> DataFrame:

@@ -73,7 +73,8 @@ class Bindings:
         """Write the input roles under ``root`` (a folder in the shared
         checkpoint location) and route later bindings of this directory to
         them."""
-        self.claims.write.mode("overwrite").partitionBy("year_month").parquet(f"{root}/claims")
+        (self.claims.repartition("year_month").write.mode("overwrite")
+         .partitionBy("year_month").parquet(f"{root}/claims"))
         self.snapshots.write.mode("overwrite").parquet(f"{root}/snapshots")
         self.provider.write.mode("overwrite").parquet(f"{root}/provider")
         self.months.write.mode("overwrite").parquet(f"{root}/months")
