@@ -131,6 +131,13 @@ def category(n, ranges=K.CATEGORY_RANGES, other: str = K.UNCATEGORIZED) -> Colum
     return expr.otherwise(F.lit(other))
 
 
+def code_category(code) -> Column:
+    """X10 + X11 in one expression that tests the code pattern once per row."""
+    c = _c(code)
+    n = F.substring(c, 2, 4).cast("int")
+    return F.when(c.rlike(r"\AD[0-9]{4}\z"), category(n)).otherwise(F.lit(K.UNCATEGORIZED))
+
+
 def layer_key(cat) -> Column:
     """Category label -> layer key; unknown (Uncategorized) -> NULL."""
     pairs = []

@@ -60,14 +60,19 @@ def categorised_base(merged: DataFrame, fips_map: DataFrame, code: str = "code",
                      county: str = "county_fips", zip5: str = "practice_zip5",
                      month: str = "year_month") -> DataFrame:
     """One row per merged claim row with its geography, period and category."""
-    base = merged.select(
+    # The code number is its own projection so the regex runs once per row;
+    # the 12-range CASE then reads the integer (Catalyst does not inline a
+    # non-trivial expression that is referenced many times).
+    numbered = merged.select(
         F.nullif(F.col(county), F.lit("")).alias("county_fips"),
         X.prefix(zip5, 3, trim=True).alias("zip3"),
         F.col(month).alias("year_month"),
         F.substring(month, 1, 4).alias("year"),
-        X.category(X.code_number(code)).alias("category"),
+        X.code_number(code).alias("__code_n"),
         F.col("benef"), F.col("claims"), F.col("paid"),
     )
+    base = numbered.select("county_fips", "zip3", "year_month", "year",
+                           X.category("__code_n").alias("category"), "benef", "claims", "paid")
     return attach_parent(base, "county_fips", fips_map)
 
 

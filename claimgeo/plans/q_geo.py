@@ -376,9 +376,8 @@ LEFT JOIN layer_map l ON l.category = r.label"""))
 def code_category(spark, sf):
     """X10 + X11 + J14: code number, category and layer of every code."""
     c = bind(spark, sf).claims.select("code").distinct()
-    n = X.code_number("code")
-    cat = X.category(n)
-    return c.select("code", n.alias("code_number"), cat.alias("category"), X.layer_key(cat).alias("layer"))
+    cat = c.select("code", X.code_number("code").alias("code_number"), X.code_category("code").alias("category"))
+    return cat.select("code", "code_number", "category", X.layer_key("category").alias("layer"))
 
 
 @register("id_class", with_views("""

@@ -30,7 +30,7 @@ OUTPUT_SCHEMA = StructType([
 
 def monthly_category(full: DataFrame) -> DataFrame:
     """Per (month, category) sums of the claim rows of the given months."""
-    return full.groupBy("ym", X.category(X.code_number("code")).alias("category")).agg(
+    return full.groupBy("ym", X.code_category("code").alias("category")).agg(
         F.sum("benef").cast("bigint").alias("total_beneficiaries_served"),
         F.sum("claims").cast("bigint").alias("total_claims"),
         F.sum("paid").cast("decimal(38,2)").alias("total_amount_paid"))

@@ -23,6 +23,9 @@ DEFAULTS = {
     # Small local inputs: keep the size-checked broadcast for dimensions
     # but stop a file-size estimate from broadcasting a fact table.
     "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
+    # A few hundred month directories are listed faster on the driver than
+    # by a listing job.
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "1024",
 }
 
 

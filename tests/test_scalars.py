@@ -21,6 +21,7 @@ def test_code_number_and_category(spark):
                     "Maxillofacial Prosthetics", "Maxillofacial Prosthetics", "Implant Services",
                     "Implant Services", "Prosthodontics (fixed)", "Adjunctive General Services",
                     "Uncategorized", "Uncategorized", "Uncategorized", "Uncategorized"]
+    assert _col(spark, codes, X.code_category) == cats
     keys = _col(spark, ["Oral and Maxillofacial Surgery", "Uncategorized"], X.layer_key)
     assert keys == ["oral_max_surgery", None]
     assert _col(spark, ["oral_max_surgery"], X.layer_label) == ["Oral & Maxillofacial Surgery"]
