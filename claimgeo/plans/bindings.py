@@ -58,10 +58,11 @@ class Bindings:
     """Lazy views of FIXTURES §3 over one scale-factor directory.
 
     By default every view is computed from the raw tables. After
-    :meth:`land`, the two input roles (claim rows, monthly snapshots) and
-    the registry are read from Parquet written once, claims partitioned by
-    month as the build pipeline lands them (K1); every other view derives
-    from those, so scans get month partition pruning.
+    :meth:`land`, the input roles (claim rows, monthly snapshots, registry,
+    geocoder reply, survey panel and denominators) are read from Parquet
+    written once, claims partitioned by month as the build pipeline lands
+    them (K1); every other view derives from those, so scans get month
+    partition pruning.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -78,6 +79,8 @@ class Bindings:
         self.snapshots.write.mode("overwrite").parquet(f"{root}/snapshots")
         self.provider.write.mode("overwrite").parquet(f"{root}/provider")
         self.months.write.mode("overwrite").parquet(f"{root}/months")
+        for name in ("geocoded", "survey", "enroll_county", "enroll_zcta"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
         LANDED[self.sf_dir] = root
         return Bindings(self.spark, self.sf_dir)
 
@@ -226,6 +229,9 @@ class Bindings:
     def geocoded(self) -> DataFrame:
         """One row per geocoded address; ``a % 30 = 8`` is never geocoded
         (join misses) and one extra row matches no claim."""
+        landed = self._landed("geocoded")
+        if landed is not None:
+            return landed
         from ..operators.address import ADDRESS_PARTS
         m = self.merged
         per_addr = (m.groupBy("a")
@@ -269,6 +275,9 @@ class Bindings:
     @cached_property
     def survey(self) -> DataFrame:
         """Raw survey panel: year x county, six estimate cells and margins as text."""
+        landed = self._landed("survey")
+        if landed is not None:
+            return landed
         p = self._per_provider_years(self.provider.filter(F.col("county_fips").isNotNull()))
         k, y = F.col("k"), F.col("y")
         cols = [y.cast("string").alias("year"), F.col("county_fips").alias("geoid"), k.alias("k")]
@@ -291,8 +300,14 @@ class Bindings:
 
     @cached_property
     def enroll_county(self) -> DataFrame:
+        landed = self._landed("enroll_county")
+        if landed is not None:
+            return landed
         return self._enrollees("county_fips")
 
     @cached_property
     def enroll_zcta(self) -> DataFrame:
+        landed = self._landed("enroll_zcta")
+        if landed is not None:
+            return landed
         return self._enrollees("zip5")
