@@ -32,6 +32,38 @@ def layer_values(agg: DataFrame, extra: list[str] = ()) -> DataFrame:
                       F.col("total_amount_paid").cast("decimal(38,2)").alias("total_amount_paid"))
 
 
+def level_layer_values(base: DataFrame, levels: dict[str, str], period: str = "year") -> DataFrame:
+    """Per (level, key, period, layer) sums straight from claim rows in one
+    aggregate: every row is exploded map-side into its (level, layer) and
+    (level, 'all') keys, the partial aggregate collapses them before the
+    shuffle, and one group-by yields every region value of every level and
+    layer. Rows without a layer (Uncategorized) count only in 'all'."""
+    lay = X.layer_key("category")
+    specs = []
+    for level, k in levels.items():
+        specs.append(F.struct(F.lit(level).alias("level"), F.col(k).alias("key"), lay.alias("layer")))
+        specs.append(F.struct(F.lit(level).alias("level"), F.col(k).alias("key"), F.lit("all").alias("layer")))
+    ex = base.select(F.inline(F.array(*specs)), F.col(period).alias("period"), "benef", "claims", "paid")
+    return (ex.filter(F.col("key").isNotNull() & F.col("layer").isNotNull())
+              .groupBy("level", "key", "period", "layer")
+              .agg(F.sum("benef").cast("bigint").alias("total_beneficiaries_served"),
+                   F.sum("claims").cast("bigint").alias("total_claims"),
+                   F.sum("paid").cast("decimal(38,2)").alias("total_amount_paid")))
+
+
+def values_of(v: DataFrame, metric: str = "claims", denom: DataFrame | None = None,
+              extra: list[str] = ()) -> DataFrame:
+    """The map value of each layered row: claims, or claims per enrollee
+    (NULL without a positive denominator)."""
+    out = v.select(*extra, "key", "period", "layer", "total_claims")
+    if metric == "claims":
+        return out.withColumn("value", F.col("total_claims").cast("double"))
+    if denom is None:
+        raise ValueError("metric 'enrollees' needs a denominator")
+    out = attach_denominator(out, denom, extra=extra)
+    return out.withColumn("value", X.safe_rate("total_claims", "medicaid_enrollees", 6))
+
+
 def region_value(agg: DataFrame, period: str | None = None, layer: str | None = None,
                  metric: str = "claims", denom: DataFrame | None = None,
                  universe: DataFrame | None = None, extra: list[str] = ()) -> DataFrame:
@@ -51,13 +83,7 @@ def region_value(agg: DataFrame, period: str | None = None, layer: str | None =
         u = (universe if universe is not None else agg.select("key").distinct())
         u = u.select("key").withColumn("period", F.lit(period)).withColumn("layer", F.lit(layer))
         v = u.join(v, ["key", "period", "layer"], "left").fillna(0, subset=["total_claims"])
-    out = v.select(*extra, "key", "period", "layer", "total_claims")
-    if metric == "claims":
-        return out.withColumn("value", F.col("total_claims").cast("double"))
-    if denom is None:
-        raise ValueError("metric 'enrollees' needs a denominator")
-    out = attach_denominator(out, denom, extra=extra)
-    return out.withColumn("value", X.safe_rate("total_claims", "medicaid_enrollees", 6))
+    return values_of(v, metric, denom, extra)
 
 
 def region_detail(agg: DataFrame, denom: DataFrame | None) -> DataFrame:

@@ -222,11 +222,11 @@ def id_buckets(spark, sf):
 # ---- colour scale -------------------------------------------------------------
 
 def _level_values(spark, sf, metric: str):
-    """Values of every (level, region, year, layer): one multi-level
-    aggregate, one grouping-sets pass for the layers and, for rates, one
-    join to the union of the three levels' denominators."""
+    """Values of every (level, region, year, layer): one aggregate over the
+    claim rows exploded to (level, layer) keys and, for rates, one join to
+    the union of the three levels' denominators."""
     b = bind(spark, sf)
-    multi = A.multi_level_aggregate(base(spark, sf), A.LEVEL_KEYS, ("year",))
+    lv = R.level_layer_values(base(spark, sf), A.LEVEL_KEYS, "year")
     denom = None
     if metric == "enrollees":
         parts = {"state": D.enrollment_by(b.enroll_county, "state", A.fips_dimension(spark)),
@@ -235,7 +235,7 @@ def _level_values(spark, sf, metric: str):
         for level, d in parts.items():
             d = d.select(F.lit(level).alias("level"), "region_id", "year", "medicaid_enrollees")
             denom = d if denom is None else denom.unionByName(d)
-    v = R.region_value(multi, metric=metric, denom=denom, extra=["level"])
+    v = R.values_of(lv, metric=metric, denom=denom, extra=["level"])
     return v.select("level", "key", "period", "layer", "value")
 
 
