@@ -48,6 +48,19 @@ def ever_seen(snaps: DataFrame, sid: str = "npi") -> DataFrame:
     return snaps.select(F.col(sid).alias("npi")).filter(F.col("npi").isNotNull()).distinct()
 
 
+def merged_rows_by_month(facts_by_id: DataFrame, snaps: DataFrame, sid: str = "npi",
+                         sym: str = "ym") -> DataFrame:
+    """Rows the same-month inner join (J1) produces, per month, without
+    joining raw rows: each (month, id) group's row count times the number of
+    snapshot rows for that (id, month). Duplicate snapshot rows multiply the
+    count exactly as the row join does (D2)."""
+    mult = (snaps.filter(F.col(sid).isNotNull())
+                 .groupBy(F.col(sid).alias("__n"), F.col(sym).alias("__m"))
+                 .agg(F.count(F.lit(1)).alias("__k")))
+    j = facts_by_id.join(mult, (F.col("servicing_id") == F.col("__n")) & (F.col("year_month") == F.col("__m")))
+    return j.groupBy("year_month").agg(F.sum(F.col("n_rows") * F.col("__k")).alias("merged_rows"))
+
+
 def dropped_ids(facts_by_id: DataFrame, snap_ids: DataFrame) -> DataFrame:
     """(month, id) groups with no same-month snapshot row (anti join);
     the NULL id is always dropped."""

@@ -115,7 +115,7 @@ LEFT JOIN (SELECT year_month, count(*) ids, sum(n_rows) rows FROM rc GROUP BY 1)
 
 def _coverage(spark, sf):
     b, fb, si, dr = _ids(spark, sf)
-    merged = b.merged.groupBy("year_month").agg(F.count(F.lit(1)).alias("merged_rows"))
+    merged = S.merged_rows_by_month(fb, b.snapshots)
     return Q.coverage_report(fb, merged, dr, S.recoverable(dr, si, 1))
 
 

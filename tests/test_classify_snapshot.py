@@ -121,6 +121,8 @@ def test_duplicate_snapshot_rows_hide_drops_only_in_the_delta(spark):
     jan = [r for r in rep if r.year_month == "202001"][0]
     assert jan.hhs_dental_rows == 4 and jan.merged_rows == 2      # id 4 matched twice
     assert jan.dropped_rows == 2 and jan.anti_rows == 3           # delta hides one drop, anti join does not
+    by_month = {r.year_month: r.merged_rows for r in S.merged_rows_by_month(fb, snaps).collect()}
+    assert by_month == {r.year_month: r.merged_rows for r in merged.collect()}
 
 
 def test_stable_sample_independent_of_partitioning(spark):
