@@ -113,10 +113,8 @@ def test_snapshot_names_and_prefix_columns(spark):
         RD.require_columns(snaps, ["NPI", "Country"])
     from claimgeo.functions import scalars as X
     pairs = RD.taxonomy_pairs(snaps, "Code_", "Switch_")
-    got = snaps.select(X.primary_value([(F.col("p")[i]["code"], F.col("p")[i]["switch"]) for i in range(2)])
-                       .alias("v")).withColumn("p", pairs) if False else \
-        snaps.withColumn("p", pairs).select(
-            X.primary_value([(F.col("p")[i]["code"], F.col("p")[i]["switch"]) for i in range(2)]).alias("v"))
+    got = snaps.withColumn("p", pairs).select(
+        X.primary_value([(F.col("p")[i]["code"], F.col("p")[i]["switch"]) for i in range(2)]).alias("v"))
     assert {r.v for r in got.collect()} == {"B"}
 
 
@@ -184,3 +182,21 @@ def test_keep_first_is_skew_safe_aggregate(spark):
     assert got == {"k": "a", "j": "x"}
     plan = G.keep_first(df, "key", ["pos"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_read_geocoded_csv_with_bom_and_duplicates(spark):
+    d = scratch()
+    p = os.path.join(d, "geo.csv")
+    with open(p, "w", encoding="utf-8-sig") as fh:
+        fh.write("address_id,Status,CountyFIPS,CountyNAME,Latitude,Longitude,n_rows,address_full\n")
+        fh.write("a1,M,1001,Autauga,32.5,-86.6,3,1 MAIN ST\n")
+        fh.write("a2,U,,,,,2,2 MAIN ST\n")
+        fh.write("a1,T,9999,Other,1,1,9,DUP\n")
+    geo = {r.address_id: r for r in G.read_geocoded(spark, p).collect()}
+    assert set(geo) == {"a1", "a2"}
+    assert geo["a1"].geocode_status == "M" and geo["a1"].county_fips == "01001" and geo["a1"].latitude == 32.5
+    assert geo["a2"].county_fips is None and geo["a2"].latitude is None
+    raw = spark.read.option("header", "true").csv(p)
+    assert G.duplicate_count(raw, "address_id").collect()[0].n_duplicates == 1
+    meta = G.select_existing(raw, ["address_id", "n_rows", "address_full", "not_there"], "address_id")
+    assert sorted(meta.columns) == ["address_full", "address_id", "n_rows"] and meta.count() == 2

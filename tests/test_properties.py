@@ -36,3 +36,30 @@ def test_merged_plus_anti_equals_dental_when_snapshots_unique(spark):
     rep = E.queries()["coverage_report"](spark, SF001)
     tot_anti = sum(x.anti_rows for x in rep.collect())
     assert r.merged_rows + tot_anti == r.hhs_dental_rows
+
+
+def test_plans_have_no_cartesian_or_python_except_simplify(spark):
+    bad = {}
+    for name, fn in E.queries().items():
+        if name == "incremental_months":       # side-effecting streaming run, checked by the oracle test
+            continue
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                            "ArrowEvalPython", "MapInPandas") if k in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {"simplify_rings": ["MapInPandas"]}
+
+
+def test_filters_and_columns_reach_the_landed_scan(spark, tmp_path_factory):
+    from claimgeo.plans import bindings as B
+    root = str(tmp_path_factory.mktemp("landed"))
+    try:
+        B.Bindings(spark, SF001).land(root)
+        plan = E.queries()["agg_annual_state"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "/claims" in line][0]
+        assert "StringStartsWith(code,D)" in scan
+        assert "ReadSchema: struct<servicing_id:string,code:string,benef:bigint,claims:bigint,paid:decimal(18,2)>" \
+            in scan
+    finally:
+        B.LANDED.pop(SF001.rstrip("/"), None)
