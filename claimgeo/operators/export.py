@@ -35,6 +35,18 @@ def region_name(level: str, key: str = "key", names: DataFrame | None = None) ->
     return F.concat(F.lit("ZIP3 "), k)
 
 
+def attach_names(df: DataFrame, level: str, dim: DataFrame | None = None, key: str = "region_id") -> DataFrame:
+    """``region_name`` from a name dimension (``region_id``, ``name``) with
+    the level's fallback (state name, the id, or ``ZIP3 nnn``)."""
+    if dim is not None:
+        d = dim.select(F.col("region_id").alias("__rid"), F.col("name").alias("__name"))
+        df = df.join(d, F.col(key) == F.col("__rid"), "left").drop("__rid")
+    else:
+        df = df.withColumn("__name", F.lit(None).cast("string"))
+    fallback = region_name(level, key)
+    return df.withColumn("region_name", F.coalesce(F.col("__name"), fallback)).drop("__name")
+
+
 def drop_zero_rows(df: DataFrame, measures=("total_claims", "total_beneficiaries_served",
                                             "total_amount_paid")) -> DataFrame:
     """drop rows whose measures are all zero (after aggregation)."""

@@ -114,6 +114,14 @@ def loss_waterfall(stages: list[tuple[str, DataFrame]]) -> DataFrame:
                             .otherwise(F.lit(0.0)), 6).alias("dropped_pct"))
 
 
+def share_of_total(df: DataFrame, measures: list[str], suffix: str = "_pct") -> DataFrame:
+    """Each measure as a percentage of its column total, for a small
+    report (the total is a window over the whole report)."""
+    w = Window.partitionBy()
+    return df.select("*", *[_pct(F.col(m).cast("double"), F.sum(m).over(w).cast("double")).alias(f"{m}{suffix}")
+                            for m in measures])
+
+
 def id_bucket_report(marked: DataFrame, claims: str = "claims", paid: str = "paid") -> DataFrame:
     """Q5 (X12 + X13 + A7 + A8): per identifier bucket: distinct ids (the
     NULL bucket has 0, D4), rows, claims and dollars (NULL -> 0), and the

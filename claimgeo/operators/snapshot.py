@@ -23,6 +23,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 
 
+def filter_code_prefix(df: DataFrame, col: str = "code", prefix: str = "D") -> DataFrame:
+    """keep rows whose code starts with ``prefix``; NULL codes drop. The
+    predicate is pushed to the Parquet scan as ``StringStartsWith``."""
+    return df.filter(F.col(col).startswith(prefix))
+
+
 def snapshot_join(facts: DataFrame, snaps: DataFrame, fid: str = "servicing_id", fym: str = "year_month",
                   sid: str = "npi", sym: str = "ym") -> DataFrame:
     """Same-month inner equi join; NULL ids never match."""

@@ -50,3 +50,9 @@ def missing_months(wanted: DataFrame, done_path: str, spark=None, ym: str = "ym"
     except Exception:  # nothing written yet
         return wanted.select(ym).distinct()
     return wanted.select(ym).distinct().join(done, ym, "left_anti")
+
+
+def write_report(df: DataFrame, path: str, order: list[str]) -> None:
+    """K8: a sorted report as one CSV with a header (reports are small:
+    one row per month, bucket or address failure)."""
+    write_csv(df.coalesce(1), path, df.columns, order)

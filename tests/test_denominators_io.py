@@ -91,3 +91,26 @@ def test_additivity_invariant_detects_a_change(spark):
     assert A.check_additive(fine, state, ["key", "period", "category"]).count() == 0
     broken = state.withColumn("total_claims", F.col("total_claims") + 1)
     assert A.check_additive(fine, broken, ["key", "period", "category"]).count() == 1
+
+
+def test_share_names_prefix_filter_and_report(spark):
+    from claimgeo.operators import export as E
+    from claimgeo.operators import quality as Q
+    from claimgeo.operators import snapshot as S
+    rep = spark.createDataFrame([("a", 1, 3), ("b", 3, 1)], "bucket string, rows bigint, claims bigint")
+    got = {r.bucket: (r.rows_pct, r.claims_pct) for r in Q.share_of_total(rep, ["rows", "claims"]).collect()}
+    assert got == {"a": (25.0, 75.0), "b": (75.0, 25.0)}
+    df = spark.createDataFrame([("06037",), ("01001",), ("99999",)], "region_id string")
+    dim = spark.createDataFrame([("06037", "Los Angeles County, CA")], "region_id string, name string")
+    names = {r.region_id: r.region_name for r in E.attach_names(df, "county", dim).collect()}
+    assert names == {"06037": "Los Angeles County, CA", "01001": "01001", "99999": "99999"}
+    st = spark.createDataFrame([("CA",), ("ZZ",)], "region_id string")
+    assert {r.region_id: r.region_name for r in E.attach_names(st, "state").collect()} == \
+        {"CA": "California", "ZZ": "ZZ"}
+    codes = spark.createDataFrame([("D1110",), ("99213",), (None,)], "code string")
+    assert [r.code for r in S.filter_code_prefix(codes).collect()] == ["D1110"]
+    d = scratch()
+    SK.write_report(rep, os.path.join(d, "rep"), ["rows"])
+    files = [f for f in os.listdir(os.path.join(d, "rep")) if f.endswith(".csv")]
+    assert len(files) == 1
+    assert open(os.path.join(d, "rep", files[0])).read().splitlines() == ["bucket,rows,claims", "a,1,3", "b,3,1"]
