@@ -74,11 +74,21 @@ def with_address_id(df: DataFrame, parts: list[str]) -> DataFrame:
     return df.withColumn("address_id", X.address_id(parts))
 
 
-def geocode_join(claims: DataFrame, geo: DataFrame) -> DataFrame:
-    """Enrich claim rows (carrying ``address_id``) with the reply."""
+def geocode_join(claims: DataFrame, geo: DataFrame, salt: int | None = None) -> DataFrame:
+    """Enrich claim rows (carrying ``address_id``) with the reply.
+
+    With ``salt=N`` the join key gets a salt in [0, N): claim rows take a
+    deterministic salt from a hash of the row (the same on a retry), and each
+    reply row is replicated N times (the reply is address-sized). One address
+    holding a third of all claims then spreads over N tasks instead of one.
+    Without it, AQE's skew-join split handles a hot key."""
     g = geo.select("address_id", "geocode_status", "county_fips", "county_name", "latitude", "longitude")
     c = claims.drop("county_fips") if "county_fips" in claims.columns else claims
-    return c.join(g, "address_id", "left")
+    if not salt:
+        return c.join(g, "address_id", "left")
+    cs = c.withColumn("__salt", F.pmod(F.xxhash64(*c.columns), F.lit(salt)).cast("int"))
+    gs = g.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return cs.join(gs, ["address_id", "__salt"], "left").drop("__salt")
 
 
 def seen_counts(claims: DataFrame) -> DataFrame:

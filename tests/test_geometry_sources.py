@@ -200,3 +200,15 @@ def test_read_geocoded_csv_with_bom_and_duplicates(spark):
     assert G.duplicate_count(raw, "address_id").collect()[0].n_duplicates == 1
     meta = G.select_existing(raw, ["address_id", "n_rows", "address_full", "not_there"], "address_id")
     assert sorted(meta.columns) == ["address_full", "address_id", "n_rows"] and meta.count() == 2
+
+
+def test_salted_geocode_join_equals_plain(spark):
+    rows = [("hot", i) for i in range(300)] + [("a", 1), ("b", 2), ("miss", 3)]
+    claims = spark.createDataFrame(rows, "address_id string, n int")
+    geo = spark.createDataFrame([("hot", "M", "01001", "X", 1.0, 2.0), ("a", "U", None, None, None, None),
+                                 ("b", "M", "06037", "Y", 3.0, 4.0)],
+                                "address_id string, geocode_status string, county_fips string, county_name string, "
+                                "latitude double, longitude double")
+    plain = sorted(tuple(r) for r in G.geocode_join(claims, geo).collect())
+    salted = sorted(tuple(r) for r in G.geocode_join(claims, geo, salt=8).collect())
+    assert plain == salted and len(plain) == 303
