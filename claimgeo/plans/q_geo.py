@@ -173,7 +173,7 @@ SELECT "check", n_bad, n_bad = 0 AS ok FROM (
   UNION ALL SELECT 'n_rows_mismatch', (SELECT CAST(count(*) AS BIGINT) FROM seen s JOIN v_geocoded g USING (address_id)
                                        WHERE coalesce(g.n_rows, 0) <> s.n_claim_rows))
 UNION ALL
-SELECT 'all_checks', sum(n_bad), sum(n_bad) = 0 FROM (
+SELECT 'all_checks', CAST(sum(n_bad) AS BIGINT), sum(n_bad) = 0 FROM (
   SELECT (SELECT count(*) FROM v_geocoded WHERE address_id NOT IN (SELECT address_id FROM seen)) AS n_bad
   UNION ALL SELECT (SELECT coalesce(sum(n_claim_rows), 0) FROM ledger WHERE failure_reason <> 'geocoder_unmatched')
   UNION ALL SELECT (SELECT count(*) FROM seen s JOIN v_geocoded g USING (address_id)
@@ -217,7 +217,7 @@ FROM (SELECT vec_id, label, embedding, len(embedding) // 2 AS np,
              unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)"""
 
 _AREA = """
-SELECT p.vec_id, p.label, any_value(p.np) + 1 AS n_points,
+SELECT p.vec_id, p.label, CAST(any_value(p.np) + 1 AS INTEGER) AS n_points,
        CASE WHEN any_value(p.np) + 1 < 4 THEN 0.0 ELSE abs(sum(
          (p.lon * 111.32 * cos(radians(ml.m))) * (q.lat * 110.57)
          - (q.lon * 111.32 * cos(radians(ml.m))) * (p.lat * 110.57))) / 2 END AS area
