@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregate import ndjson_lines
+from ..operators.aggregate import LEVEL_KEYS, multi_level_aggregate, ndjson_lines
 
 
 def write_by_month(df: DataFrame, path: str, ym: str = "ym", mode: str = "overwrite") -> None:
@@ -56,3 +56,25 @@ def write_report(df: DataFrame, path: str, order: list[str]) -> None:
     """K8: a sorted report as one CSV with a header (reports are small:
     one row per month, bucket or address failure)."""
     write_csv(df.coalesce(1), path, df.columns, order)
+
+
+def write_all_outputs(base: DataFrame, root: str) -> DataFrame:
+    """K4 + K3 + A27: the six keyed-NDJSON outputs {annual, monthly} x
+    {state, county, zip3} from one multi-level aggregate.
+
+    The aggregate is persisted (lineage kept: a lost executor recomputes its
+    blocks) and each output is a filter of it, so the claim rows are read and
+    shuffled once for all six. Returns (output, n_keys, n_records): six rows,
+    counted while the aggregate is still cached."""
+    multi = multi_level_aggregate(base, LEVEL_KEYS, ("year", "year_month")).persist()
+    try:
+        rows = []
+        for grain, name in (("year", "annual"), ("year_month", "monthly")):
+            for level in LEVEL_KEYS:
+                out = multi.filter((F.col("grain") == grain) & (F.col("level") == level)).select(
+                    "key", "period", "category", "total_beneficiaries_served", "total_claims", "total_amount_paid")
+                c = write_ndjson(out, f"{root}/{name}_{level}", grain).collect()[0]
+                rows.append((f"{name}_{level}", int(c.n_keys), int(c.n_records or 0)))
+        return base.sparkSession.createDataFrame(rows, "output string, n_keys bigint, n_records bigint")
+    finally:
+        multi.unpersist()

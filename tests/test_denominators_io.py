@@ -114,3 +114,15 @@ def test_share_names_prefix_filter_and_report(spark):
     files = [f for f in os.listdir(os.path.join(d, "rep")) if f.endswith(".csv")]
     assert len(files) == 1
     assert open(os.path.join(d, "rep", files[0])).read().splitlines() == ["bucket,rows,claims", "a,1,3", "b,3,1"]
+
+
+def test_write_all_outputs_matches_output_counts(spark):
+    import __spark_entry__ as E
+    from claimgeo.plans.q_aggregate import base
+    from .conftest import SF001
+    d = scratch()
+    got = {r.output: (r.n_keys, r.n_records) for r in SK.write_all_outputs(base(spark, SF001), d).collect()}
+    exp = {r.output: (r.n_keys, r.n_records) for r in E.queries()["output_counts"](spark, SF001).collect()}
+    assert got == exp and len(got) == 6
+    back = RD.read_keyed_ndjson(spark, os.path.join(d, "monthly_county"), period_field="year_month")
+    assert back.count() == exp["monthly_county"][1]
