@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
 
+from ..functions import constants as K
 from ..functions import scalars as X
 from ..operators.aggregate import duplicate_keys, parse_ndjson_lines
 from ..operators.denominators import read_enrollment, read_or_empty  # noqa: F401  (re-export S9, S13)
@@ -111,3 +112,42 @@ def read_region_names(spark: SparkSession, geojson_path: str, id_props=("GEOID",
     props = feats.select("f.properties.*", F.col("f.id").alias("__fid") if "id" in str(fc.schema) else F.lit(None))
     ids = [F.col(p) for p in id_props if p in props.columns] + ([F.col("__fid")] if "__fid" in props.columns else [])
     return props.select(F.coalesce(*ids).cast("string").alias("region_id"), F.col(name_prop).alias("name"))
+
+
+def snapshot_table(raw: DataFrame) -> DataFrame:
+    """T3 from a raw snapshot read (:func:`read_snapshots`): the five practice
+    address columns (required), the country column found by prefix, and the
+    primary taxonomy code chosen over the (code, switch) slots in numeric
+    order (X14); the postal code becomes a ZIP5 (X3). Files without a month
+    in their name are dropped (list them with :func:`snapshot_rejects`)."""
+    require_columns(raw, ["NPI", *K.SNAPSHOT_ADDRESS_COLUMNS])
+    country = columns_by_prefix(raw, K.SNAPSHOT_COUNTRY_PREFIX)
+    if not country:
+        raise KeyError("missing practice-location country code column")
+    codes = columns_by_prefix(raw, K.SNAPSHOT_TAXONOMY_CODE_PREFIX)
+    switches = columns_by_prefix(raw, K.SNAPSHOT_TAXONOMY_SWITCH_PREFIX)
+    def q(name: str) -> Column:      # header names may contain dots
+        return F.col(f"`{name}`")
+    a = K.SNAPSHOT_ADDRESS_COLUMNS
+    return raw.filter(F.col("ym") != "").select(
+        q("NPI").alias("npi"), "ym",
+        q(a[0]).alias("practice_address_line_1"), q(a[1]).alias("practice_address_line_2"),
+        q(a[2]).alias("practice_city"), q(a[3]).alias("practice_state"),
+        X.normalize_zip5(q(a[4])).alias("practice_zip5"),
+        q(country[0]).alias("practice_country_code"),
+        X.primary_value([(q(c), q(w)) for c, w in zip(codes, switches)]).alias("primary_taxonomy_code"),
+    )
+
+
+def merge_claims(claims: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """T4: dental claim rows (``read_claims`` + code filter) joined to the
+    same-month snapshot row of their servicing id (J1), in the 14 merged
+    columns. ``ym`` on both sides is ``YYYYMM``; NULL ids never match."""
+    j = claims.join(snapshots, (claims["servicing_id"] == snapshots["npi"]) & (claims["ym"] == snapshots["ym"]))
+    return j.select(
+        F.col("servicing_id").alias("servicing_npi"), F.col("billing_id").alias("billing_npi"),
+        F.col("code").alias("hcpcs_code"), F.col("year_month"),
+        F.col("benef").alias("beneficiaries_served_count"), F.col("claims").alias("claims_count"),
+        F.col("paid").alias("total_amount_paid"),
+        "practice_address_line_1", "practice_address_line_2", "practice_city", "practice_state",
+        "practice_zip5", "practice_country_code", "primary_taxonomy_code")

@@ -212,3 +212,32 @@ def test_salted_geocode_join_equals_plain(spark):
     plain = sorted(tuple(r) for r in G.geocode_join(claims, geo).collect())
     salted = sorted(tuple(r) for r in G.geocode_join(claims, geo, salt=8).collect())
     assert plain == salted and len(plain) == 303
+
+
+def test_snapshot_table_and_merge(spark):
+    d = scratch()
+    hdr = ["NPI", *K.SNAPSHOT_ADDRESS_COLUMNS, K.SNAPSHOT_COUNTRY_PREFIX + " (If outside U.S.)",
+           K.SNAPSHOT_TAXONOMY_CODE_PREFIX + "2", K.SNAPSHOT_TAXONOMY_SWITCH_PREFIX + "2",
+           K.SNAPSHOT_TAXONOMY_CODE_PREFIX + "10", K.SNAPSHOT_TAXONOMY_SWITCH_PREFIX + "10",
+           K.SNAPSHOT_TAXONOMY_CODE_PREFIX + "1", K.SNAPSHOT_TAXONOMY_SWITCH_PREFIX + "1"]
+    rows = [["1234567893", "1 Main St", "", "Boston", "MA", "021391234", "US", "T2", "Y", "T10", "Y", "T1", "N"],
+            ["1111111112", "2 Elm St", "Fl 2", "Newark", "NJ", "7103", "US", "X2", "N", "X10", "Y", "X1", "N"]]
+    import csv
+    with open(os.path.join(d, "npi_raw_201801.csv"), "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(hdr)
+        w.writerows(rows)
+    snap = RD.snapshot_table(RD.read_snapshots(spark, os.path.join(d, "*.csv")))
+    got = {r.npi: (r.ym, r.practice_zip5, r.primary_taxonomy_code, r.practice_country_code) for r in snap.collect()}
+    assert got == {"1234567893": ("201801", "02139", "T2", "US"), "1111111112": ("201801", "07103", "X10", "US")}
+    p = os.path.join(d, "claims.csv")
+    with open(p, "w") as fh:
+        fh.write("SERVICING_PROVIDER_NPI_NUM,BILLING_PROVIDER_NPI_NUM,HCPCS_CODE,CLAIM_FROM_MONTH,"
+                 "TOTAL_UNIQUE_BENEFICIARIES,TOTAL_CLAIMS,TOTAL_PAID\n")
+        fh.write("1234567893,1,D1110,2018-01,12,15,100.25\n1234567893,1,D1110,2018-02,1,1,1\n,1,D0120,2018-01,1,1,1\n")
+    merged = RD.merge_claims(RD.read_claims(spark, p), snap)
+    assert merged.columns == list(K.MERGED_COLUMNS)
+    assert [(r.servicing_npi, r.year_month, r.practice_zip5) for r in merged.collect()] == \
+        [("1234567893", "2018-01", "02139")]
+    with pytest.raises(KeyError):
+        RD.snapshot_table(RD.read_snapshots(spark, os.path.join(d, "claims.csv")).withColumn("NPI", F.lit("x")))
