@@ -49,3 +49,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2,
+                   max_partitions: int = 100_000) -> dict:
+    """Size shuffles and splits for an input of ``input_bytes`` (e.g. the
+    month-partitioned claims at ~100 TB) and apply the runtime SQL settings:
+
+    * initial shuffle partitions = input / target (AQE then coalesces small
+      ones to the advisory size, so the count is an upper bound that keeps
+      every reducer's partition near ``target_partition_bytes`` and spills
+      bounded);
+    * file splits of the same target size;
+    * skew join on, with a skewed partition defined relative to the median.
+
+    Returns the settings it applied. Nothing here changes results.
+    """
+    n = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    conf = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -63,3 +63,17 @@ def test_filters_and_columns_reach_the_landed_scan(spark, tmp_path_factory):
             in scan
     finally:
         B.LANDED.pop(SF001.rstrip("/"), None)
+
+
+def test_size_for_input(spark):
+    from claimgeo.session import size_for_input
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+                                          "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        conf = size_for_input(spark, 100 * 1024 ** 4)          # 100 TB
+        assert conf["spark.sql.shuffle.partitions"] == "100000"
+        assert size_for_input(spark, 10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
+        assert size_for_input(spark, 1024 ** 4)["spark.sql.shuffle.partitions"] == "4096"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
