@@ -151,3 +151,16 @@ def merge_claims(claims: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.col("paid").alias("total_amount_paid"),
         "practice_address_line_1", "practice_address_line_2", "practice_city", "practice_state",
         "practice_zip5", "practice_country_code", "primary_taxonomy_code")
+
+
+MERGED_SCHEMA = StructType(
+    [StructField(c, StringType()) for c in K.MERGED_COLUMNS[:4]]
+    + [StructField("beneficiaries_served_count", LongType()), StructField("claims_count", LongType()),
+       StructField("total_amount_paid", DecimalType(18, 2))]
+    + [StructField(c, StringType()) for c in K.MERGED_COLUMNS[7:]])
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """Merged-claims CSV with the full schema declared (ids and ZIPs stay
+    text, money DECIMAL(18,2)); no inference pass over the data."""
+    return spark.read.schema(MERGED_SCHEMA).option("header", "true").csv(path)

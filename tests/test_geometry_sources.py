@@ -241,3 +241,6 @@ def test_snapshot_table_and_merge(spark):
         [("1234567893", "2018-01", "02139")]
     with pytest.raises(KeyError):
         RD.snapshot_table(RD.read_snapshots(spark, os.path.join(d, "claims.csv")).withColumn("NPI", F.lit("x")))
+    SK.write_csv(merged, os.path.join(d, "merged"), list(K.MERGED_COLUMNS))
+    back = RD.read_merged(spark, os.path.join(d, "merged")).collect()
+    assert back[0].practice_zip5 == "02139" and str(back[0].total_amount_paid) == "100.25"
