@@ -39,8 +39,12 @@ def id_months(facts: DataFrame, fid: str = "servicing_id", fym: str = "year_mont
               measures: tuple[str, ...] = ()) -> DataFrame:
     """(month, id) -> row count (+ sums); the NULL id is a group of its own."""
     aggs = [F.count(F.lit(1)).alias("n_rows")] + [F.sum(m).alias(m) for m in measures]
-    return (facts.groupBy(F.col(fym).alias("year_month"), F.col(fid).alias("servicing_id")).agg(*aggs)
-                 .withColumn("mi", X.month_index("year_month")))
+    g = facts.groupBy(F.col(fym).alias("year_month"), F.col(fid).alias("servicing_id")).agg(*aggs)
+    # The filter reads an aggregate output (always true), so it stays above
+    # the aggregate and Catalyst cannot move later semi/anti joins on the
+    # grouping keys below it: the joins then shuffle (month, id) groups,
+    # not raw claim rows, and a hot id never reaches a join un-aggregated.
+    return g.filter(F.col("n_rows") > 0).withColumn("mi", X.month_index("year_month"))
 
 
 def snapshot_ids(snaps: DataFrame, sid: str = "npi", sym: str = "ym") -> DataFrame:

@@ -77,3 +77,13 @@ def test_size_for_input(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_anti_join_runs_on_pre_aggregated_groups(spark):
+    """The (month, id) pre-aggregate must stay below the anti join, so hot ids
+    are collapsed before any join shuffle."""
+    plan = E.queries()["dropped_ids"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
+    agg = next(i for i, line in enumerate(lines) if "functions=[count(1)" in line)
+    assert agg > anti          # printed below = evaluated before (it is a child of the join)
