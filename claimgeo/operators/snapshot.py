@@ -96,8 +96,12 @@ def nearest_month(dropped: DataFrame, snap_ids: DataFrame) -> DataFrame:
     ``nearest_ym`` / ``distance`` are NULL when the id is never present."""
     d = dropped.filter(F.col("servicing_id").isNotNull()).select(
         "servicing_id", "year_month", "mi", "n_rows", F.lit(True).alias("is_drop"))
-    p = snap_ids.select(F.col("npi").alias("servicing_id"), F.lit(None).cast("string").alias("year_month"),
-                        "mi", F.lit(None).cast("long").alias("n_rows"), F.lit(False).alias("is_drop"))
+    # Only ids that were dropped somewhere need their present months: a
+    # semi join shrinks the snapshot side before the window's shuffle.
+    wanted = d.select(F.col("servicing_id").alias("__sid")).distinct()
+    present = snap_ids.join(wanted, F.col("npi") == F.col("__sid"), "left_semi")
+    p = present.select(F.col("npi").alias("servicing_id"), F.lit(None).cast("string").alias("year_month"),
+                       "mi", F.lit(None).cast("long").alias("n_rows"), F.lit(False).alias("is_drop"))
     ev = d.unionByName(p)
     w = Window.partitionBy("servicing_id").orderBy("mi", "is_drop")
     present_mi = F.when(~F.col("is_drop"), F.col("mi"))
