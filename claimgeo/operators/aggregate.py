@@ -105,10 +105,10 @@ def fine_aggregate(base: DataFrame) -> DataFrame:
 
 
 def all_aggregates(base: DataFrame) -> dict[tuple[str, str], DataFrame]:
-    """K4: the six outputs {annual, monthly} x {state, county, zip3}.
-
-    Persist the fine aggregate when several outputs are written from it;
-    each output is then a small roll-up rather than a re-scan of claims."""
+    """K4: the six outputs {annual, monthly} x {state, county, zip3} as lazy
+    roll-ups of the fine aggregate. To write all six, use
+    ``sources.sinks.write_all_outputs``, which computes them in one
+    persisted multi-level aggregate."""
     fine = fine_aggregate(base)
     out = {}
     for grain, (pcol, _) in GRAIN_PERIODS.items():
