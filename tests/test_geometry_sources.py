@@ -244,3 +244,17 @@ def test_snapshot_table_and_merge(spark):
     SK.write_csv(merged, os.path.join(d, "merged"), list(K.MERGED_COLUMNS))
     back = RD.read_merged(spark, os.path.join(d, "merged")).collect()
     assert back[0].practice_zip5 == "02139" and str(back[0].total_amount_paid) == "100.25"
+
+
+def test_simplify_properties_on_fixture_rings(spark):
+    from claimgeo.plans import q_geo
+    from .conftest import SF001
+    parts = q_geo._parts(spark, SF001)
+    before = {r.vec_id: [(p.lon, p.lat) for p in r.ring] for r in parts.collect()}
+    after = {r.vec_id: [(p.lon, p.lat) for p in r.ring] for r in GM.simplify_rings(parts).collect()}
+    assert set(before) == set(after)
+    for k, ring in before.items():
+        out = after[k]
+        assert out[0] == ring[0] and out[-1] == out[0] and len(out) <= len(ring)
+        it = iter(ring[:-1])
+        assert all(any(p == q for q in it) for p in out[:-1])      # in-order subsequence
