@@ -8,6 +8,7 @@ a fresh scratch checkpoint folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,10 +41,13 @@ def get_spark(master: str = "local[8]", extra: dict | None = None) -> SparkSessi
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a scratch one only
-    when the session names none (local runs and tests)."""
+    """The shared checkpoint folder of the session. Where it names none, a
+    scratch folder is set on a local master (tests, bench); on a cluster that
+    is an error, since a machine-local folder would not be shared."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="claimgeo-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

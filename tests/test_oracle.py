@@ -9,11 +9,10 @@ import pytest
 import __spark_entry__ as E
 from check_oracle import compare
 from claimgeo.plans.bindings import TABLES, Bindings
+from claimgeo.plans.catalog import ORACLE, QUERIES
 
 from .conftest import SF001, SF01
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
