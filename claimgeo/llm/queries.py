@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, toxicity
+from . import decontam, pii, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = pii.bare_spans(F.col("base"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[pii.count_of(base, rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.spell(base), 256).alias("base_sha256"),
+        pii.spell(F.array_sort(F.concat(base, "extra"))).alias("spans"))
