@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, simhash, toxicity
+from . import decontam, mixing, pii, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_of(base, rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)],
         F.sha2(pii.spell(base), 256).alias("base_sha256"),
         pii.spell(F.array_sort(F.concat(base, "extra"))).alias("spans"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "mix_topic", "mix_tokens", F.round("mix_rate", 6).alias("mix_rate"), "mix_copies")
+
+
+ORACLE["op5_mixing"] = mixing.oracle_sql()
