@@ -5,12 +5,14 @@ express the result; the others are tested against brute force in tests/llm.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, pii, simhash, toxicity
+from ..session import checkpoint_dir
+from . import decontam, minhash, mixing, pii, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +63,20 @@ ORACLE["op5_mixing"] = mixing.oracle_sql()
 @query
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.succession_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False)
+
+
+ORACLE["op9_warc"] = """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                      max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
+    FROM p
+"""
