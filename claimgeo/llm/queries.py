@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontam, minhash, mixing, pii, simhash, toxicity, warc
+from . import decontam, lm, minhash, mixing, pii, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,12 @@ ORACLE["op9_warc"] = """
            CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
     FROM p
 """
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of quality 1; background: all others."""
+    good = (table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+            .withColumn("is_good", F.lit(True)))
+    docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left")
+    return lm.cross_entropy_difference(docs, F.col("is_good"))
