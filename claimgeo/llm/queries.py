@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import decontam, lm, minhash, mixing, pii, simhash, toxicity, warc
+from . import chat, decontam, lm, minhash, mixing, pii, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("is_good", F.lit(True)))
     docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left")
     return lm.cross_entropy_difference(docs, F.col("is_good"))
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.stale_reply_preferences(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op8_chat_formatting"] = chat.oracle_sql()
