@@ -47,55 +47,57 @@ def dedupe_addresses(df: DataFrame, parts: list[str] = ADDRESS_PARTS,
     )
 
 
-def top_addresses(addresses: DataFrame, n: int) -> DataFrame:
-    """O1: the ``n`` addresses with most claims (ties by id): a top-k report."""
-    return addresses.orderBy(F.desc("n_claims"), F.asc("address_id")).limit(n)
+def top_addresses(addresses: DataFrame, n: int | None = None) -> DataFrame:
+    """O1: the addresses in priority order (claims descending, ties by id):
+    all of them, or the first ``n`` for a top-k report."""
+    ordered = addresses.orderBy(F.desc("n_claims"), F.asc("address_id"))
+    return ordered if n is None else ordered.limit(n)
 
 
-def global_rank(df: DataFrame, order: list, n_parts: int | None = None) -> DataFrame:
-    """A 1-based rank over the whole frame under a total ``order``, without
-    a single-partition window.
+MANTISSA_BITS = 10
 
-    The frame is range-partitioned and sorted by ``order`` (a distributed
-    sort); each partition numbers its own rows, a tiny table of partition
-    row counts (one row per partition) gives each partition's offset, and
-    rank = offset + local number. Every step is bounded by a partition.
-    """
-    sorted_df = (df.repartitionByRange(n_parts, *order) if n_parts else df.repartitionByRange(*order)) \
-        .sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
-    local = sorted_df.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
-    counts = sorted_df.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
-    return (local.join(F.broadcast(offsets), "__pid")
-                 .withColumn("rank", F.col("__off") + F.col("__rn"))
-                 .drop("__pid", "__rn", "__off"))
+
+def value_bucket(v: Column) -> Column:
+    """A bucket number that grows with the value: its binary exponent and
+    first ``MANTISSA_BITS`` bits (values below ``2 ** (MANTISSA_BITS + 1)``
+    have one each). At most 64 * 2 ** MANTISSA_BITS on either side of zero."""
+    size = F.abs(F.floor(v)).cast("bigint")
+    shift = F.greatest(F.length(F.bin(size)) - 1 - MANTISSA_BITS, F.lit(0))
+    bucket = shift * (1 << MANTISSA_BITS) + F.floor(size / F.pow(F.lit(2.0), shift)).cast("bigint")
+    return F.when(v < 0, -bucket - 1).otherwise(bucket)
 
 
 def concentration(addresses: DataFrame, value: str = "n_claims",
-                  shares: tuple[int, ...] = (1, 10), key: str = "address_id") -> DataFrame:
+                  shares: tuple[int, ...] = (1, 10)) -> DataFrame:
     """Share of ``value`` held by the top 1 % / 10 % of addresses
-    (``max(1, n * share // 100)`` of them, ranked by value desc, id asc),
-    plus the row-reduction factor ``rows / addresses``. One row.
-
-    The ranking is :func:`global_rank` (range-partitioned sort); the count
-    is a scalar subquery, so nothing passes through the driver.
+    (``max(1, n * share // 100)`` of them by value), plus the row-reduction
+    factor ``rows / addresses``. One row; a share is NULL without any value.
+
+    The sum over the top k does not depend on how ties are ordered, so no
+    rank is made: addresses are counted per distinct value, values are
+    numbered inside buckets of near values (a deterministic function of the
+    value, so any partitioning gives the same result), and bucket totals,
+    a bounded table, give what lies above each bucket. NULL values count as 0.
     """
-    ranked = global_rank(addresses.select(key, F.col(value).alias("v"), F.col("n_rows").alias("r")),
-                         [F.desc("v"), F.asc(key)])
+    rows = addresses.select(F.coalesce(F.col(value), F.lit(0)).alias("v"), F.col("n_rows").alias("r"))
+    hist = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("r")).withColumn("b", value_bucket(F.col("v")))
+    totals = hist.groupBy("b").agg(F.sum("c").alias("n"))                    # bounded: see value_bucket
+    above = totals.select("b", (F.sum("n").over(Window.orderBy(F.desc("b"))) - F.col("n")).alias("above"))
+    inside = hist.withColumn("before", F.sum("c").over(Window.partitionBy("b").orderBy(F.desc("v"))) - F.col("c"))
+    placed = inside.join(F.broadcast(above), "b").withColumn("before", F.col("before") + F.col("above"))
     n = addresses.select(F.count(F.lit(1))).scalar()
-    exprs = [F.count(F.lit(1)).alias("n_addresses"), F.sum("r").alias("n_rows"), F.sum("v").alias("total_value")]
+    exprs = [F.coalesce(F.sum("c"), F.lit(0)).alias("n_addresses"), F.sum("r").alias("n_rows"),
+             F.sum(F.col("v") * F.col("c")).alias("total_value")]
     for s in shares:
         kth = F.greatest(F.lit(1), F.floor(n * F.lit(s) / F.lit(100)))
-        exprs.append(F.sum(F.when(F.col("rank") <= kth, F.col("v")).otherwise(0)).alias(f"top{s}_value"))
-    tops = ranked.agg(*exprs)
+        taken = F.greatest(F.lit(0), F.least(F.col("c"), kth - F.col("before")))
+        exprs.append(F.sum(F.col("v") * taken).alias(f"top{s}_value"))
     cols = [F.col("n_addresses"), F.col("n_rows").cast("bigint").alias("n_rows"),
-            F.round(F.col("n_rows") / F.col("n_addresses"), 6).alias("reduction_factor")]
+            F.round(F.try_divide("n_rows", "n_addresses"), 6).alias("reduction_factor")]
     for s in shares:
-        cols.append(F.round(F.lit(100.0) * F.col(f"top{s}_value") / F.col("total_value"), 6)
+        cols.append(F.round(F.try_divide(F.lit(100.0) * F.col(f"top{s}_value"), F.col("total_value")), 6)
                     .alias(f"top{s}_pct"))
-    return tops.select(*cols)
+    return placed.agg(*exprs).select(*cols)
 
 
 def address_key(df: DataFrame, parts: list[str] = ADDRESS_PARTS) -> Column:

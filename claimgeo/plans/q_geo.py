@@ -42,12 +42,10 @@ def address_dedup(spark, sf):
 
 
 @register("top_addresses", with_views(
-    "SELECT address_id, n_claims, n_rows FROM ad ORDER BY n_claims DESC, address_id LIMIT 10",
-    {"ad": _DEDUP_SQL}))
+    "SELECT address_id, n_claims, n_rows FROM ad", {"ad": _DEDUP_SQL}))
 def top_addresses(spark, sf):
-    """O1: the ten addresses with most claims (a top-k report)."""
-    return AD.top_addresses(AD.dedupe_addresses(bind(spark, sf).merged), 10).select(
-        "address_id", "n_claims", "n_rows")
+    """O1: every address in priority order."""
+    return AD.top_addresses(AD.dedupe_addresses(bind(spark, sf).merged)).select("address_id", "n_claims", "n_rows")
 
 
 @register("address_concentration", with_views("""
@@ -246,46 +244,108 @@ def small_part_filter(spark, sf):
     return p.select("vec_id", "label", F.round(GM.ring_area_km2("ring"), 3).alias("area_km2"))
 
 
-@register("simplify_rings")
+@register("simplify_rings", with_views(f"""
+SELECT p.vec_id, p.label, CAST(count(*) + 1 AS INTEGER) AS n_points, round(sum(p.lon), 6) AS lon_sum
+FROM pts p JOIN (SELECT DISTINCT vec_id, pos FROM (SELECT vec_id, lo AS pos FROM cuts UNION ALL SELECT vec_id, hi FROM cuts)) k
+  ON k.vec_id = p.vec_id AND k.pos = p.i
+GROUP BY p.vec_id, p.label""", {
+    "pts": _PTS,
+    "cuts": f"""
+    WITH RECURSIVE seg(vec_id, lo, hi) AS (
+        SELECT vec_id, 0::BIGINT, (any_value(np) - 1)::BIGINT FROM pts GROUP BY vec_id
+        UNION ALL
+        SELECT vec_id, CASE WHEN side = 0 THEN lo ELSE far END, CASE WHEN side = 0 THEN far ELSE hi END
+        FROM (SELECT s.vec_id, s.lo, s.hi, arg_max(p.i, struct_pack(d := CASE
+                       WHEN a.lon = b.lon AND a.lat = b.lat THEN sqrt(pow(p.lon - a.lon, 2) + pow(p.lat - a.lat, 2))
+                       ELSE abs((b.lat - a.lat) * (p.lon - a.lon) - (b.lon - a.lon) * (p.lat - a.lat))
+                            / sqrt(pow(b.lon - a.lon, 2) + pow(b.lat - a.lat, 2)) END, i := -p.i)) AS far,
+                     max(CASE
+                       WHEN a.lon = b.lon AND a.lat = b.lat THEN sqrt(pow(p.lon - a.lon, 2) + pow(p.lat - a.lat, 2))
+                       ELSE abs((b.lat - a.lat) * (p.lon - a.lon) - (b.lon - a.lon) * (p.lat - a.lat))
+                            / sqrt(pow(b.lon - a.lon, 2) + pow(b.lat - a.lat, 2)) END) AS dist
+              FROM seg s JOIN pts a ON a.vec_id = s.vec_id AND a.i = s.lo JOIN pts b ON b.vec_id = s.vec_id AND b.i = s.hi
+              JOIN pts p ON p.vec_id = s.vec_id AND p.i > s.lo AND p.i < s.hi
+              GROUP BY s.vec_id, s.lo, s.hi) m CROSS JOIN (VALUES (0), (1)) sides(side)
+        WHERE dist > {K.SIMPLIFY_TOL_DEG})
+    SELECT vec_id, lo, hi FROM seg"""}))
 def simplify_rings(spark, sf):
-    """Douglas-Peucker (0.12 degrees) on every ring; rows-only check."""
+    """Douglas-Peucker (0.12 degrees) on every ring."""
     s = GM.simplify_rings(_parts(spark, sf))
-    return s.select("vec_id", "label", F.size("ring").alias("n_points"))
-
-
-@register("round_rings", with_views("""
-SELECT vec_id, CAST(count(*) AS INTEGER) AS n_points, round(sum(lon), 6) AS lon_sum, round(sum(lat), 6) AS lat_sum
-FROM (SELECT vec_id, lon, lat FROM closed) GROUP BY vec_id HAVING count(*) >= 4""", {
+    open_ring = F.slice("ring", 1, F.size("ring") - 1)
+    return s.select("vec_id", "label", F.size("ring").alias("n_points"),
+                    F.round(F.aggregate(open_ring, F.lit(0.0), lambda a, p: a + p["lon"]), 6).alias("lon_sum"))
+
+
+# Rings whose coordinates end in the digit 5 after the third decimal (what
+# looks like a tie in decimals is mostly none in binary), each with a hole of
+# half its size.
+_TIED = """
+SELECT vec_id, label, i, np, ring, k * (floor(lon * 1000) / 1000 + 0.0005) AS lon, k * (floor(lat * 1000) / 1000 + 0.0005) AS lat
+FROM pts, (VALUES (0, 1.0::DOUBLE), (1, 0.5::DOUBLE)) rings(ring, k)"""
+_ROUNDED = {
     "pts": _PTS,
-    "rp": """SELECT vec_id, i, np, round_even(lon, 3) AS lon, round_even(lat, 3) AS lat FROM pts
-             UNION ALL SELECT vec_id, np, np, round_even(lon, 3), round_even(lat, 3) FROM pts WHERE i = 0""",
+    "tied": _TIED,
+    "rp": """SELECT vec_id, label, ring, i, CAST(format('{:.3f}', lon) AS DOUBLE) AS lon,
+                    CAST(format('{:.3f}', lat) AS DOUBLE) AS lat
+             FROM (SELECT vec_id, label, ring, i, lon, lat FROM tied
+                   UNION ALL SELECT vec_id, label, ring, np, lon, lat FROM tied WHERE i = 0)""",
     "dd": """SELECT * FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM rp
-                            WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+                            WINDOW w AS (PARTITION BY vec_id, ring ORDER BY i))
              WHERE plon IS NULL OR plon <> lon OR plat <> lat""",
-    "closed": """SELECT vec_id, lon, lat FROM dd
+    "closed": """SELECT vec_id, label, ring, i, lon, lat FROM dd
                  UNION ALL
-                 SELECT f.vec_id, f.lon, f.lat FROM
-                   (SELECT vec_id, arg_min(lon, i) AS lon, arg_min(lat, i) AS lat,
-                           arg_max(lon, i) AS llon, arg_max(lat, i) AS llat FROM dd GROUP BY vec_id) f
-                 WHERE f.lon <> f.llon OR f.lat <> f.llat"""}))
+                 SELECT f.vec_id, f.label, f.ring, 1000000, f.lon, f.lat FROM
+                   (SELECT vec_id, label, ring, arg_min(lon, i) AS lon, arg_min(lat, i) AS lat,
+                           arg_max(lon, i) AS llon, arg_max(lat, i) AS llat FROM dd GROUP BY ALL) f
+                 WHERE f.lon <> f.llon OR f.lat <> f.llat""",
+    "kept": "SELECT * FROM closed QUALIFY count(*) OVER (PARTITION BY vec_id, ring) >= 4",
+}
+
+
+def _tied_parts(spark, sf):
+    def tie(c):
+        return F.floor(c * 1000) / 1000 + 0.0005
+
+    def scaled(k):
+        return F.transform("ring", lambda p: F.struct((tie(p["lon"]) * k).alias("lon"), (tie(p["lat"]) * k).alias("lat")))
+    return _parts(spark, sf).select("vec_id", "label", scaled(1.0).alias("ring"), F.array(scaled(0.5)).alias("holes"))
+
+
+@register("round_rings", with_views("""
+SELECT vec_id, CAST(count(*) FILTER (ring = 0) AS INTEGER) AS n_points, round(sum(lon) FILTER (ring = 0), 6) AS lon_sum,
+       round(sum(lat) FILTER (ring = 0), 6) AS lat_sum, CAST(count(DISTINCT ring) - 1 AS INTEGER) AS n_holes,
+       round(coalesce(sum(lon) FILTER (ring = 1), 0), 6) AS hole_lon_sum
+FROM kept GROUP BY vec_id HAVING count(*) FILTER (ring = 0) > 0""", _ROUNDED))
 def round_rings(spark, sf):
-    """Rings rounded to 3 decimals, repeats dropped, re-closed."""
-    r = GM.round_rings(_parts(spark, sf), holes=None)
-    pts = F.col("ring")
-    return r.select("vec_id", F.size(pts).alias("n_points"),
-                    F.round(F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["lon"]), 6).alias("lon_sum"),
-                    F.round(F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["lat"]), 6).alias("lat_sum"))
+    """Rings and holes rounded to 3 decimals, repeats dropped, re-closed."""
+    r = GM.round_rings(_tied_parts(spark, sf))
+
+    def total(ring, axis):
+        return F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[axis])
+    return r.select("vec_id", F.size("ring").alias("n_points"), F.round(total(F.col("ring"), "lon"), 6).alias("lon_sum"),
+                    F.round(total(F.col("ring"), "lat"), 6).alias("lat_sum"), F.size("holes").alias("n_holes"),
+                    F.round(F.aggregate("holes", F.lit(0.0), lambda a, h: a + total(h, "lon")), 6).alias("hole_lon_sum"))
 
 
 @register("dissolve_parts", with_views(f"""
-SELECT label, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS geom_type,
-       CAST(count(*) AS BIGINT) AS n_parts, round(sum(area), 3) AS total_area_km2,
-       string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS part_ids
-FROM area WHERE area >= {K.MIN_PART_KM2} GROUP BY label""", {"pts": _PTS, "area": _AREA}))
+WITH rings AS (SELECT vec_id, label, ring, list([lon, lat] ORDER BY i) AS points FROM kept GROUP BY ALL),
+polygons AS (SELECT vec_id, label, list(points ORDER BY ring) AS rings FROM rings GROUP BY ALL HAVING min(ring) = 0),
+f AS (SELECT 'L' || p.label || '-' || (p.vec_id // 10) AS feature, min('Label ' || p.label) AS name, count(*) AS n_parts,
+             round(sum(a.area), 3) AS total_area_km2, list(rings ORDER BY p.vec_id) AS polygons
+      FROM polygons p JOIN area a USING (vec_id) WHERE a.area >= {K.MIN_PART_KM2} GROUP BY 1)
+SELECT feature, name, CASE WHEN n_parts = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS geom_type,
+       CAST(n_parts AS BIGINT) AS n_parts, total_area_km2,
+       '{{"type":"' || CASE WHEN n_parts = 1 THEN 'Polygon' ELSE 'MultiPolygon' END || '","coordinates":'
+       || CASE WHEN n_parts = 1 THEN to_json(polygons[1])::VARCHAR ELSE to_json(polygons)::VARCHAR END || '}}' AS geometry
+FROM f""", {**_ROUNDED, "area": _AREA}))
 def dissolve_parts(spark, sf):
-    """Large parts grouped by label into Polygon / MultiPolygon features."""
-    p = GM.drop_small_parts(_parts(spark, sf), holes=None).withColumn("area_km2", GM.ring_area_km2("ring"))
-    return GM.dissolve(p, "label", "vec_id")
+    """Large parts of a feature (a label's run of ten ids) as GeoJSON."""
+    area = _parts(spark, sf).select("vec_id", GM.ring_area_km2("ring").alias("area_km2"))
+    p = GM.round_rings(_tied_parts(spark, sf)).join(area, "vec_id").filter(F.col("area_km2") >= K.MIN_PART_KM2)
+    label = F.col("label").cast("string")
+    p = p.withColumn("feature", F.concat(F.lit("L"), label, F.lit("-"), F.floor(F.col("vec_id") / 10).cast("string"))) \
+         .withColumn("name", F.concat(F.lit("Label "), label))
+    return GM.dissolve(p, "feature", "vec_id", attributes=("name",))
 
 
 @register("parent_exclusion", with_views("""

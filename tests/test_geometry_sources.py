@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,13 +68,42 @@ def test_small_parts_round_and_simplify(spark):
     s = GM.simplify_rings(spark.createDataFrame([(1, _ring(col))], RING_SCHEMA)).collect()[0].ring
     pts = [(p.lon, p.lat) for p in s]
     assert pts[0] == pts[-1] and len(pts) < len(col) and (1.0, 1.0) in pts
-    assert GM._dp([(0, 0), (1, 0), (0, 0)], 0.12) == [(0, 0), (1, 0), (0, 0)]   # <= 4 points untouched
+    tri = np.array([(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)])
+    assert GM.simplify_ring(tri, 0.12) is tri                                  # up to 4 points untouched
+
+
+def test_rounding_is_by_the_exact_binary_value(spark):
+    rng = np.random.default_rng(0)
+    xs = ([k / 10000 for k in range(-20005, 20006, 10)] + rng.uniform(-180, 180, 3000).tolist()
+          + [k / 16 for k in range(-99, 99)] + [0.0005, 2.0005, 179.9995, 1e-9, -1e-9, 14.9085])
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r.y for r in df.select(GM.round_half_even(F.col("x"), 3).alias("y")).collect()] == [round(x, 3) for x in xs]
+
+
+def test_simplify_keeps_holes_nulls_and_extremes(spark):
+    wave = [(i / 10, 0.05 * (i % 2)) for i in range(40)] + [(2.0, 5.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(1, _ring(wave), [_ring(wave), _ring(wave[:3])]), (2, None, None), (3, _ring(wave[:4]), [])],
+                               "id int, ring array<struct<lon: double, lat: double>>, "
+                               "holes array<array<struct<lon: double, lat: double>>>")
+    got = {r.id: r for r in GM.simplify_rings(df).collect()}
+    pts = [(p.lon, p.lat) for p in got[1].ring]
+    assert pts[0] == pts[-1] == (0.0, 0.0) and (2.0, 5.0) in pts and len(pts) < 8
+    assert got[1].holes[0] == got[1].ring and len(got[1].holes[1]) == 3
+    assert got[2].ring is None and got[2].holes is None and len(got[3].ring) == 4 and got[3].holes == []
+    built = GM.simplify_round_drop(df.filter("id = 1")).collect()
+    assert len(built) == 1 and len(built[0].holes) == 1
 
 
 def test_dissolve_and_exclusion(spark):
-    parts = spark.createDataFrame([("A", 1, 10.0), ("A", 2, 5.0), ("B", 3, 7.0)], "k string, pid int, area_km2 double")
-    got = {r.k: (r.geom_type, r.n_parts, r.part_ids) for r in GM.dissolve(parts, "k", "pid").collect()}
-    assert got == {"A": ("MultiPolygon", 2, "1,2"), "B": ("Polygon", 1, "3")}
+    sq = _ring([(0, 0), (1, 0), (1, 1), (0, 0)])
+    parts = spark.createDataFrame([("A", 2, 10.0, sq, [sq], "n"), ("A", 1, 5.0, sq, None, "m"), ("B", 3, 7.0, sq, [], "o")],
+                                  "k string, pid int, area_km2 double, ring array<struct<lon: double, lat: double>>, "
+                                  "holes array<array<struct<lon: double, lat: double>>>, name string")
+    got = {r.k: r for r in GM.dissolve(parts, "k", "pid", attributes=("name",)).collect()}
+    line = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
+    assert json.loads(got["A"].geometry) == {"type": "MultiPolygon", "coordinates": [[line], [line, line]]}
+    assert json.loads(got["B"].geometry) == {"type": "Polygon", "coordinates": [line]}
+    assert (got["A"].name, got["A"].n_parts, got["A"].total_area_km2) == ("m", 2, 15.0)
     rec = spark.createDataFrame([("u1", "USA", None), ("x", "FRA", None), ("y", "XYZ", "u1"), ("z", "GUM", "x")],
                                 "key string, code string, parent string")
     kept = {r.key for r in GM.exclude_with_parent(rec, "key", "code", "parent", ["USA", "GUM"]).collect()}
@@ -141,18 +171,26 @@ def test_ndjson_roundtrip_and_duplicates(spark):
         RD.read_keyed_ndjson(spark, os.path.join(d, "out"))
 
 
-def test_concentration_and_global_rank(spark):
-    rows = [(f"a{i:03d}", i % 7 + 1, 1) for i in range(250)]
-    df = spark.createDataFrame(rows, "address_id string, n_claims bigint, n_rows bigint")
-    ranked = AD.global_rank(df, [F.desc("n_claims"), F.asc("address_id")], n_parts=5).collect()
-    assert sorted(r["rank"] for r in ranked) == list(range(1, 251))
-    order = sorted(rows, key=lambda r: (-r[1], r[0]))
-    assert {r.address_id: r["rank"] for r in ranked} == {r[0]: i + 1 for i, r in enumerate(order)}
-    c = AD.concentration(df).collect()[0]
-    total = sum(r[1] for r in rows)
-    assert c.top1_pct == round(100.0 * sum(r[1] for r in order[:2]) / total, 6)
-    assert c.top10_pct == round(100.0 * sum(r[1] for r in order[:25]) / total, 6)
-
+def test_concentration_with_heavy_ties_and_any_partitioning(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.concat(F.lit("a"), F.col("id")).alias("address_id"), F.lit(2).alias("n_rows"),
+                               F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000)) *
+                                                                         F.when(F.col("id") % 1000 == 1, 10 ** 9).otherwise(1))
+                               .cast("bigint").alias("n_claims"))
+    v = np.sort(np.array([r[0] for r in df.select("n_claims").collect()], dtype=object))[::-1]
+    want = (n, 2 * n, 2.0, round(100.0 * int(v[:n // 100].sum()) / int(v.sum()), 6),
+            round(100.0 * int(v[:n // 10].sum()) / int(v.sum()), 6))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert tuple(AD.concentration(df).first()) == pytest.approx(want, abs=2e-6)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    small = spark.createDataFrame([("a", -5, 1), ("b", None, 1), ("c", 3, 1)], "address_id string, n_claims bigint, n_rows bigint")
+    assert AD.concentration(small).first().top1_pct == -150.0
+    assert tuple(AD.concentration(small.filter("n_claims is null")).first()) == (1, 1, 1.0, None, None)
+    assert AD.concentration(small.limit(0)).first().n_addresses == 0
 
 def test_geocode_gate_flips_on_faults(spark):
     seen = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "address_id string, n_claim_rows bigint")

@@ -46,10 +46,10 @@ def test_plans_have_no_cartesian_or_python_except_simplify(spark):
             continue
         plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
         hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
-                            "ArrowEvalPython", "MapInPandas") if k in plan]
+                            "ArrowEvalPython", "MapInPandas", "MapInArrow") if k in plan]
         if hits:
             bad[name] = hits
-    assert bad == {"simplify_rings": ["MapInPandas"]}
+    assert bad == {"simplify_rings": ["MapInArrow"]}
 
 
 def test_filters_and_columns_reach_the_landed_scan(spark, tmp_path_factory):
