@@ -243,11 +243,12 @@ def period_year(period) -> Column:
 
 def county_label(geoid_col, name, lsad, postal=None) -> Column:
     """``NAME LSAD, ST`` for a five-digit GEOID; ST is the postal code of
-    the state prefix, falling back to the prefix itself. Other ids -> NULL."""
+    the state prefix, falling back to the prefix itself; a missing LSAD is
+    ``County``. Other ids -> NULL."""
     g = pad_id(geoid_col, 5)
     st = F.coalesce(_c(postal) if postal is not None else state_postal(F.substring(g, 1, 2)),
                     F.substring(g, 1, 2))
-    label = F.concat_ws(", ", F.concat_ws(" ", _c(name), _c(lsad)), st)
+    label = F.concat_ws(", ", F.concat_ws(" ", _c(name), F.coalesce(_c(lsad), F.lit("County"))), st)
     return F.when(g.rlike(r"\A[0-9]{5}\z"), label)
 
 

@@ -34,11 +34,11 @@ def state_names(spark: SparkSession) -> DataFrame:
 
 def attach_parent(df: DataFrame, child: str, parent_map: DataFrame, map_key: str = "state_fips",
                   map_value: str = "postal", n: int = 2, alias: str = "state") -> DataFrame:
-    """Left join on the first ``n`` characters of ``child`` to a small
-    parent map. The map is a fixed dimension; it is broadcast."""
+    """Left join on the first ``n`` characters of ``child`` to a parent
+    map. Whether it is broadcast is left to Spark's size check."""
     pm = parent_map.select(F.col(map_key).alias("__pk"), F.col(map_value).alias(alias))
     return (df.withColumn("__pfx", X.prefix(child, n))
-              .join(F.broadcast(pm), F.col("__pfx") == F.col("__pk"), "left")
+              .join(pm, F.col("__pfx") == F.col("__pk"), "left")
               .drop("__pfx", "__pk"))
 
 
@@ -46,11 +46,11 @@ def strict_parent(df: DataFrame, child: str, parent_map: DataFrame, n: int = 2,
                   map_key: str = "state_fips", map_value: str = "postal",
                   alias: str = "state") -> DataFrame:
     """As :func:`attach_parent`, but raise ``ValueError`` listing the
-    prefixes that have no parent. This is an action (a bounded distinct of
-    unmapped prefixes, at most the 100 two-digit prefixes)."""
+    prefixes that have no parent. This is an action (a distinct of the
+    unmapped prefixes)."""
     out = attach_parent(df, child, parent_map, map_key, map_value, n, alias)
     bad = (out.filter(F.col(alias).isNull() & F.col(child).isNotNull())
-              .select(X.prefix(child, n).alias("p")).distinct().orderBy("p").limit(100).collect())
+              .select(X.prefix(child, n).alias("p")).distinct().orderBy("p").collect())
     if bad:
         raise ValueError(f"unmapped {child} prefixes: {[r.p for r in bad]}")
     return out
@@ -169,36 +169,39 @@ def unmapped_prefixes(base: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def ndjson_lines(agg: DataFrame, period_field: str = "year") -> DataFrame:
+CLAIMS_FIELDS = {"category": "string", "total_beneficiaries_served": "bigint", "total_claims": "bigint",
+                 "total_amount_paid": "decimal(38,2)"}
+ENROLLMENT_FIELDS = {"medicaid_enrollees": "bigint"}
+
+
+def ndjson_lines(agg: DataFrame, period_field: str = "year", fields: dict[str, str] = CLAIMS_FIELDS) -> DataFrame:
     """K3: one JSON line per key ``{"<key>": [records...]}``; records sorted
-    by (period, category) with a fixed field order and nulls kept.
+    by period, then the fields in order, with a fixed field order and nulls
+    kept. ``fields``: the record's fields besides the period.
 
     ``collect_list`` gathers one key's records: a key is one region (at most
     a few thousand period x category records), never a whole table.
     """
-    rec = F.struct(
-        F.col("period").alias(period_field),
-        F.col("category"),
-        *[F.col(m) for m in MEASURES],
-    )
+    rec = F.struct(F.col("period").alias(period_field), *[F.col(m) for m in fields])
     per_key = agg.groupBy("key").agg(F.array_sort(F.collect_list(rec)).alias("records"),
                                       F.count(F.lit(1)).alias("n_records"))
     line = F.to_json(F.create_map(F.col("key"), F.col("records")), {"ignoreNullFields": "false"})
     return per_key.select("key", line.alias("line"), "n_records")
 
 
-def record_schema(period_field: str = "year") -> str:
-    return (f"MAP<STRING, ARRAY<STRUCT<{period_field}: STRING, category: STRING, "
-            "total_beneficiaries_served: BIGINT, total_claims: BIGINT, "
-            "total_amount_paid: DECIMAL(38,2)>>>")
+def record_schema(period_field: str = "year", fields: dict[str, str] = CLAIMS_FIELDS) -> str:
+    inner = ", ".join(f"{name}: {kind}" for name, kind in {period_field: "string", **fields}.items())
+    return f"MAP<STRING, ARRAY<STRUCT<{inner}>>>"
 
 
-def parse_ndjson_lines(lines: DataFrame, period_field: str = "year", col: str = "value") -> DataFrame:
-    """Keyed NDJSON text -> (key, period, category, sums). Blank lines
-    are skipped; a key that occurs on two lines is an error (D9), checked
-    by :func:`duplicate_keys`."""
+def parse_ndjson_lines(lines: DataFrame, period_field: str = "year", col: str = "value",
+                       fields: dict[str, str] | None = None) -> DataFrame:
+    """Keyed NDJSON text -> (key, period, fields). Blank lines are
+    skipped; a line that is no such record raises; a key that occurs on two
+    lines is an error (D9), checked by :func:`duplicate_keys`."""
+    schema = record_schema(period_field, fields or CLAIMS_FIELDS)
     parsed = (lines.filter(F.trim(F.col(col)) != "")
-                   .select(F.from_json(F.col(col), record_schema(period_field)).alias("m"))
+                   .select(F.from_json(F.col(col), schema, {"mode": "FAILFAST"}).alias("m"))
                    .select(F.explode("m").alias("key", "records"))
                    .filter(F.col("key") != ""))
     return (parsed.select("key", F.inline("records"))

@@ -8,12 +8,14 @@ ZCTA-level panel over many years can outgrow a safe broadcast.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions import constants as K
 from ..functions import scalars as X
+from ..sources.csv import quoted, read_csv, typed
 from . import aggregate as A
 
 
@@ -40,49 +42,58 @@ def panel_validation(panel: DataFrame, year: str = "year", value: str = "medicai
     )
 
 
-def matrix_to_table(df: DataFrame, rows_col: str = "value") -> DataFrame:
-    """An API reply ``[[header...], [row...], ...]`` (one JSON document per
-    row of ``df``) -> a table whose columns are named by the header row."""
-    arr = df.select(F.from_json(F.col(rows_col), "ARRAY<ARRAY<STRING>>").alias("m"))
-    header = arr.select(F.col("m")[0].alias("h")).limit(1).collect()[0].h
-    body = arr.select(F.posexplode("m").alias("pos", "r")).filter(F.col("pos") > 0)
-    return body.select(*[F.col("r")[i].alias(h) for i, h in enumerate(header)])
+def matrix_to_table(df: DataFrame, columns: list[str], rows_col: str = "value") -> DataFrame:
+    """API replies ``[[header...], [row...], ...]`` (one JSON document
+    per row of ``df``) -> the named columns, bound by each document's own
+    header. A column that a document lacks raises; a reply that is no matrix
+    raises, too."""
+    m = F.from_json(F.col(rows_col), "ARRAY<ARRAY<STRING>>", {"mode": "FAILFAST"})
+    arr = df.select(m.alias("m")).filter(F.size("m") > 0)
+    body = arr.select(F.col("m")[0].alias("h"), F.explode(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0)))).alias("r"))
+
+    def value(name: str):
+        at = F.array_position("h", name)
+        return F.when(at > 0, F.try_element_at("r", at.cast("int"))).otherwise(
+            F.raise_error(F.lit(f"reply without column {name}")).cast("string"))
+    return body.select(*[value(c).alias(c) for c in columns])
 
 
 def read_enrollment(spark: SparkSession, path: str, id_col: str = "geoid", width: int = 5,
-                    null_as_zero: bool = False) -> DataFrame:
-    """Enrollment CSV with every column as text; ids padded (X4);
-    ``null_as_zero`` reproduces the reference's fill (D6)."""
-    schema = StructType([StructField(id_col, StringType()), StructField("year", StringType()),
-                         StructField("medicaid_enrollees", StringType())])
-    df = spark.read.schema(schema).option("header", "true").csv(path)
-    v = F.expr("try_cast(medicaid_enrollees AS DOUBLE)").cast("bigint")
+                    null_as_zero: bool = False, bad: str = "raise") -> DataFrame:
+    """Enrollment CSV by header name; ids padded (X4), years as written;
+    ``null_as_zero`` reproduces the reference's fill (D6). A count that does
+    not parse raises unless ``bad="null"``."""
+    df = read_csv(spark, path, [id_col, "year", "medicaid_enrollees"])
+    v = typed("medicaid_enrollees", "double", bad).cast("bigint")
     if null_as_zero:
         v = F.coalesce(v, F.lit(0).cast("bigint"))
-    return df.select(X.pad_id(id_col, width).alias("region_id"), "year", v.alias("medicaid_enrollees"))
+    return df.select(X.pad_id(F.trim(quoted(id_col)), width).alias("region_id"), F.trim("year").alias("year"),
+                     v.alias("medicaid_enrollees"))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """An optional source: the data, or an empty frame of ``schema`` when
-    it cannot be read, so a left join gives NULL rates for that level."""
+    the path does not exist, so a left join gives NULL rates for that level.
+    Any other failure raises."""
     try:
         return spark.read.schema(schema).format(fmt).load(path)
-    except Exception:  # missing path / unreadable: degrade to "no denominator"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def enrollment_by(df: DataFrame, level: str, parent_map: DataFrame | None = None,
-                  strict: bool = False) -> DataFrame:
-    """A19 (+J4): county -> state through the prefix map (strict raises on an
-    unmapped prefix; otherwise those rows drop), county -> county,
-    ZCTA -> 3-digit prefix."""
+                  strict: bool = True) -> DataFrame:
+    """A19 (+J4): county -> state through the prefix map (an unmapped prefix
+    raises; with ``strict=False`` it becomes a region of its own, so that the
+    totals stay whole), county -> county, ZCTA -> 3-digit prefix."""
     if level == "county":
         return df.select("region_id", "year", "medicaid_enrollees")
     if level == "state":
         fn = A.strict_parent if strict else A.attach_parent
         j = fn(df, "region_id", parent_map, alias="parent")
-        j = j.filter(F.col("parent").isNotNull())
-        key = F.col("parent")
+        key = F.coalesce("parent", X.prefix("region_id", 2))
     elif level == "zip3":
         j = df
         key = F.substring("region_id", 1, 3)

@@ -90,13 +90,13 @@ def subset_export(agg: DataFrame, level: str, denom: DataFrame | None = None,
                   county_names: DataFrame | None = None) -> DataFrame:
     """A23 + F9 + K6 + O2: tidy rows region x period x chosen layer, plus an
     optional "All Categories" row that sums every category of the
-    region/period (chosen or not, layered or not). Zero rows drop; the
+    region/period (chosen or not, layered or not). ``None`` for periods,
+    categories or regions means all of them, an empty list none. Zero rows drop; the
     denominator and rate are NULL without an enrollment record."""
     base = _select(_select(agg, "key", regions), "period", periods)
     v = layer_values(base)
     wanted = v.filter(F.col("layer") != "all")
-    wanted = _select(wanted, "layer", categories) if categories is not None else wanted.limit(0)
-    parts = wanted
+    parts = _select(wanted, "layer", categories)
     if include_all:
         parts = parts.unionByName(v.filter(F.col("layer") == "all"))
     parts = drop_zero_rows(parts)

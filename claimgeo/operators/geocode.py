@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import scalars as X
+from ..sources.csv import quoted, read_csv
 
 GEOCODER_COLUMNS = {  # source header -> our name
     "address_id": "address_id",
@@ -39,17 +41,24 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def read_geocoded(spark: SparkSession, path: str) -> DataFrame:
-    """Geocoder CSV (BOM tolerated), the six columns renamed, FIPS padded
+    """Geocoder CSV (BOM tolerated), the six columns by name, FIPS padded
     to five digits (empty -> NULL), coordinates as DOUBLE, and duplicate
-    address ids reduced to the first by file position."""
-    raw = (spark.read.option("header", "true").option("inferSchema", "false").csv(path)
-           .withColumn("__pos", F.monotonically_increasing_id()))
-    sel = raw.select(*[F.col(src).alias(dst) for src, dst in GEOCODER_COLUMNS.items()], "__pos")
+    address ids reduced to the first by file name, place in the file's split,
+    and content (a total order that does not depend on how files are read)."""
+    raw = read_csv(spark, path)
+    plain = {c.lstrip("\ufeff"): c for c in raw.columns}
+    missing = [c for c in GEOCODER_COLUMNS if c not in plain]
+    if missing:
+        raise KeyError(f"missing required columns: {missing}")
+    sel = raw.select(*[quoted(plain[src]).alias(dst) for src, dst in GEOCODER_COLUMNS.items()],
+                     F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                     F.monotonically_increasing_id().alias("__pos"))
     sel = sel.select(
         "address_id", "geocode_status", X.pad_id("county_fips", 5).alias("county_fips"), "county_name",
         F.expr("try_cast(latitude AS DOUBLE)").alias("latitude"),
-        F.expr("try_cast(longitude AS DOUBLE)").alias("longitude"), "__pos")
-    return keep_first(sel, "address_id", ["__pos"]).drop("__pos")
+        F.expr("try_cast(longitude AS DOUBLE)").alias("longitude"), "__file", "__block", "__pos")
+    order = ["__file", "__block", "__pos", "geocode_status", "county_fips", "latitude", "longitude"]
+    return keep_first(sel, "address_id", order).drop("__file", "__block", "__pos")
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
@@ -142,11 +151,15 @@ def geocode_ledger(seen: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def failure_totals(ledger: DataFrame) -> DataFrame:
-    """Addresses and claim rows per reason, plus a TOTAL row (rollup)."""
-    g = ledger.rollup("failure_reason").agg(F.count(F.lit(1)).alias("addresses"),
-                                            F.sum("n_claim_rows").cast("bigint").alias("claim_rows"))
-    return g.select(F.coalesce("failure_reason", F.lit("TOTAL")).alias("failure_reason"), "addresses",
-                    F.coalesce("claim_rows", F.lit(0).cast("bigint")).alias("claim_rows"))
+    """Addresses and claim rows per reason (every reason, 0 where none
+    failed), plus a TOTAL row."""
+    counts = [F.count(F.lit(1)).alias("addresses"), F.sum("n_claim_rows").cast("bigint").alias("claim_rows")]
+    per = ledger.rollup("failure_reason").agg(*counts).select(
+        F.coalesce("failure_reason", F.lit("TOTAL")).alias("failure_reason"), "addresses", "claim_rows")
+    names = ledger.sparkSession.createDataFrame([(r,) for r in (*K.FAILURE_REASONS, "TOTAL")], "failure_reason string")
+    return names.join(per, "failure_reason", "left").select(
+        "failure_reason", F.coalesce("addresses", F.lit(0).cast("bigint")).alias("addresses"),
+        F.coalesce("claim_rows", F.lit(0).cast("bigint")).alias("claim_rows"))
 
 
 def reconcile_counts(seen: DataFrame, geo: DataFrame) -> DataFrame:

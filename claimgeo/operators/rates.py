@@ -54,14 +54,15 @@ def level_layer_values(base: DataFrame, levels: dict[str, str], period: str = "y
 def values_of(v: DataFrame, metric: str = "claims", denom: DataFrame | None = None,
               extra: list[str] = ()) -> DataFrame:
     """The map value of each layered row: claims, or claims per enrollee
-    (NULL without a positive denominator)."""
+    (NULL without a positive denominator), not rounded."""
     out = v.select(*extra, "key", "period", "layer", "total_claims")
     if metric == "claims":
         return out.withColumn("value", F.col("total_claims").cast("double"))
     if denom is None:
         raise ValueError("metric 'enrollees' needs a denominator")
     out = attach_denominator(out, denom, extra=extra)
-    return out.withColumn("value", X.safe_rate("total_claims", "medicaid_enrollees", 6))
+    enrollees = F.col("medicaid_enrollees")
+    return out.withColumn("value", F.when(enrollees > 0, F.col("total_claims").cast("double") / enrollees.cast("double")))
 
 
 def region_value(agg: DataFrame, period: str | None = None, layer: str | None = None,

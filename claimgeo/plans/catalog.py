@@ -34,4 +34,4 @@ def bind(spark: SparkSession, sf_dir: str) -> Bindings:
 
 
 # Importing the modules fills the registries.
-from . import q_aggregate, q_geo, q_quality, q_rates, q_stream  # noqa: E402,F401
+from . import q_aggregate, q_geo, q_quality, q_rates, q_sources, q_stream  # noqa: E402,F401

@@ -140,8 +140,10 @@ def geocode_ledger(spark, sf):
 
 
 @register("geocode_failure_totals", with_views("""
-SELECT failure_reason, CAST(count(*) AS BIGINT) AS addresses, CAST(sum(n_claim_rows) AS BIGINT) AS claim_rows
-FROM ledger GROUP BY failure_reason
+SELECT r.failure_reason, CAST(count(l.address_id) AS BIGINT) AS addresses,
+       CAST(coalesce(sum(l.n_claim_rows), 0) AS BIGINT) AS claim_rows
+FROM (VALUES ('geocoder_unmatched'), ('join_miss'), ('unexpected_missing_coords')) r(failure_reason)
+LEFT JOIN ledger l USING (failure_reason) GROUP BY 1
 UNION ALL SELECT 'TOTAL', CAST(count(*) AS BIGINT), CAST(coalesce(sum(n_claim_rows), 0) AS BIGINT) FROM ledger""",
     {"seen": _SEEN, "ledger": _LEDGER_SQL}))
 def geocode_failure_totals(spark, sf):

@@ -229,7 +229,7 @@ def _level_values(spark, sf, metric: str):
     lv = R.level_layer_values(base(spark, sf), A.LEVEL_KEYS, "year")
     denom = None
     if metric == "enrollees":
-        parts = {"state": D.enrollment_by(b.enroll_county, "state", A.fips_dimension(spark)),
+        parts = {"state": D.enrollment_by(b.enroll_county, "state", A.fips_dimension(spark), strict=False),
                  "county": b.enroll_county, "zip3": D.enrollment_by(b.enroll_zcta, "zip3")}
         denom = None
         for level, d in parts.items():
@@ -277,8 +277,7 @@ UNION ALL SELECT 'zip3', zip3, year, 'all', CAST(sum(claims) AS DOUBLE) FROM v_b
 
 _RATE_VALUES = """
 SELECT v.level, v.key, v.period, v.layer,
-       CASE WHEN e.medicaid_enrollees > 0 THEN CAST((2 * CAST(v.value AS BIGINT) * 1000000 + e.medicaid_enrollees)
-            // (2 * e.medicaid_enrollees) AS DOUBLE) / 1000000.0 END AS value
+       CASE WHEN e.medicaid_enrollees > 0 THEN v.value / e.medicaid_enrollees END AS value
 FROM vol v LEFT JOIN (
   SELECT 'county' AS level, region_id, year, medicaid_enrollees FROM v_enroll_county
   UNION ALL SELECT 'state', m.postal, e.year, CAST(sum(e.medicaid_enrollees) AS BIGINT)
@@ -324,6 +323,17 @@ def color_class(spark, sf):
     return C.color_class(vals, C.quantile_stops(vals, scope, metric="claims"), scope)
 
 
+@register("color_class_rate", with_views(
+    f"""SELECT v.level, v.key, v.period, v.layer, v.value, CAST({_band} AS INTEGER) AS band, round({_t}, 6) AS t,
+       v.value IS NULL AS no_data
+FROM vals v JOIN stops USING (period, layer)""",
+    {"vol": _VOL_VALUES, **_stops_sql("period, layer", K.TOP_CLIP["enrollees"], K.MIN_GAP["enrollees"], _RATE_VALUES)}))
+def color_class_rate(spark, sf):
+    """Bands of rates; regions without a denominator are ``no_data``."""
+    vals = _level_values(spark, sf, "enrollees")
+    return C.color_class(vals, C.quantile_stops(vals, ["period", "layer"], metric="enrollees"), ["period", "layer"])
+
+
 # ---- optional documented rules ---------------------------------------------------
 
 @register("suppress_small_cells", with_views("""

@@ -1,8 +1,8 @@
 """Sources (S1, S2, S4, S5, S7, S9, S11, S12, S13).
 
-Every reader declares its schema up front: ids and periods are strings
-(leading zeros matter) and money is DECIMAL(18,2) from the first read, so no
-inference pass runs over the data and CSV splits are read in parallel.
+CSV columns are bound by header name and read as text (leading zeros matter);
+counts and money are then cast, and what does not parse raises. No inference
+pass runs over the data and CSV splits are read in parallel.
 """
 
 from __future__ import annotations
@@ -11,53 +11,40 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions import scalars as X
 from ..operators.aggregate import duplicate_keys, parse_ndjson_lines
 from ..operators.denominators import read_enrollment, read_or_empty  # noqa: F401  (re-export S9, S13)
+from .csv import quoted, read_csv, read_csv_groups, require_columns, typed
 
-CLAIMS_SCHEMA = StructType([
-    StructField("SERVICING_PROVIDER_NPI_NUM", StringType()),
-    StructField("BILLING_PROVIDER_NPI_NUM", StringType()),
-    StructField("HCPCS_CODE", StringType()),
-    StructField("CLAIM_FROM_MONTH", StringType()),
-    StructField("TOTAL_UNIQUE_BENEFICIARIES", LongType()),
-    StructField("TOTAL_CLAIMS", LongType()),
-    StructField("TOTAL_PAID", DecimalType(18, 2)),
-])
-CLAIMS_RENAME = {
-    "SERVICING_PROVIDER_NPI_NUM": "servicing_id",
-    "BILLING_PROVIDER_NPI_NUM": "billing_id",
-    "HCPCS_CODE": "code",
-    "CLAIM_FROM_MONTH": "year_month",
-    "TOTAL_UNIQUE_BENEFICIARIES": "benef",
-    "TOTAL_CLAIMS": "claims",
-    "TOTAL_PAID": "paid",
-}
-SNAPSHOT_NAME_RE = r"npi_raw_(\d{6})"
-
-
-def read_claims(spark: SparkSession, path: str, schema: StructType = CLAIMS_SCHEMA,
-                rename: dict[str, str] = CLAIMS_RENAME) -> DataFrame:
-    """Fixed-schema claims CSV, columns renamed, plus ``ym``."""
-    df = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").csv(path)
-    out = df.select(*[F.col(k).alias(v) for k, v in rename.items()])
+
+
+def read_claims(spark: SparkSession, path: str, rename: dict[str, str] = K.CLAIMS_COLUMNS, bad: str = "raise") -> DataFrame:
+    """Claims CSV, columns bound by header name and renamed, counts as
+    BIGINT and money as DECIMAL(18,2), plus ``ym`` (X1). A number that does
+    not parse raises unless ``bad="null"``."""
+    kinds = {"benef": "bigint", "claims": "bigint", "paid": "decimal(18,2)"}
+    df = read_csv(spark, path, list(rename))
+    out = df.select(*[(typed(src, kinds[dst], bad) if dst in kinds else quoted(src)).alias(dst) for src, dst in rename.items()])
     return out.withColumn("ym", X.normalize_month("year_month"))
 
 
-def read_snapshots(spark: SparkSession, path_glob: str, name_regex: str = SNAPSHOT_NAME_RE,
-                   fmt: str = "csv") -> DataFrame:
+def read_snapshots(spark: SparkSession, path_glob: str, name_regex: str = K.SNAPSHOT_NAME_RE) -> DataFrame:
     """Registry snapshots with the month taken from each file's name.
 
-    Every column is read as text. Files whose name does not match give an
-    empty ``ym``; :func:`snapshot_rejects` lists them and the caller drops them.
+    Every column is read as text and by the header of its own file; columns
+    that a file lacks are NULL. Files whose name does not match give an empty
+    ``ym``; :func:`snapshot_rejects` lists them and the caller drops them.
     """
-    reader = spark.read.option("header", "true").option("inferSchema", "false") if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(path_glob)
-    return df.withColumn("ym", F.regexp_extract(F.col("_metadata.file_name"), name_regex, 1)) \
-             .withColumn("_file", F.col("_metadata.file_name"))
+    out = None
+    for df in read_csv_groups(spark, path_glob):
+        df = df.withColumn("ym", F.regexp_extract(F.col("_metadata.file_name"), name_regex, 1)) \
+               .withColumn("_file", F.col("_metadata.file_name"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(path_glob)
+    return out
 
 
 def snapshot_rejects(snaps: DataFrame) -> DataFrame:
@@ -73,13 +60,6 @@ def columns_by_prefix(df: DataFrame, prefix: str) -> list[str]:
     return sorted([c for c in df.columns if c.startswith(prefix)], key=suffix)
 
 
-def require_columns(df: DataFrame, cols: list[str]) -> None:
-    """Raise ``KeyError`` naming the required columns that are missing."""
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise KeyError(f"missing required columns: {missing}")
-
-
 def taxonomy_pairs(df: DataFrame, code_prefix: str, switch_prefix: str) -> Column:
     """The (code, primary switch) slot columns as ``ARRAY<STRUCT<code, switch>>``."""
     codes = columns_by_prefix(df, code_prefix)
@@ -87,31 +67,34 @@ def taxonomy_pairs(df: DataFrame, code_prefix: str, switch_prefix: str) -> Colum
     return F.array(*[F.struct(F.col(c).alias("code"), F.col(s).alias("switch")) for c, s in zip(codes, switches)])
 
 
-def select_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A column-pruned read; Catalyst pushes the projection into the scan."""
-    return df.select(*cols)
-
-
-def read_keyed_ndjson(spark: SparkSession, path: str, period_field: str = "year",
-                      check_duplicates: bool = True) -> DataFrame:
+def read_keyed_ndjson(spark: SparkSession, path: str, period_field: str = "year", check_duplicates: bool = True,
+                      fields: dict[str, str] | None = None) -> DataFrame:
     """Keyed NDJSON (``{"<key>": [records]}`` per line) -> rows. A key
-    on two lines raises (D9) instead of silently keeping one."""
+    on two lines raises (D9) instead of silently keeping one, and so does a
+    line that is not such a record. ``fields`` gives the record's fields and
+    types (default: the claims record)."""
     lines = spark.read.text(path)
     if check_duplicates:
-        dups = duplicate_keys(lines).limit(20).collect()
-        if dups:
-            raise ValueError(f"duplicate NDJSON keys: {[r.key for r in dups]}")
-    return parse_ndjson_lines(lines, period_field)
+        dups = duplicate_keys(lines)
+        n = dups.count()
+        if n:
+            raise ValueError(f"{n} duplicate NDJSON keys, such as {[r.key for r in dups.orderBy('key').limit(20).collect()]}")
+    return parse_ndjson_lines(lines, period_field, fields=fields)
 
 
 def read_region_names(spark: SparkSession, geojson_path: str, id_props=("GEOID", "id"),
-                      name_prop: str = "name") -> DataFrame:
-    """GeoJSON features -> (region_id, name) dimension."""
+                      name_prop: str = "name", lsad_prop: str | None = None) -> DataFrame:
+    """GeoJSON features -> (region_id, name) dimension. With
+    ``lsad_prop`` the name is the county label of X20."""
     fc = spark.read.option("multiLine", "true").json(geojson_path)
     feats = fc.select(F.explode("features").alias("f"))
-    props = feats.select("f.properties.*", F.col("f.id").alias("__fid") if "id" in str(fc.schema) else F.lit(None))
-    ids = [F.col(p) for p in id_props if p in props.columns] + ([F.col("__fid")] if "__fid" in props.columns else [])
-    return props.select(F.coalesce(*ids).cast("string").alias("region_id"), F.col(name_prop).alias("name"))
+    has_id = "id" in feats.schema["f"].dataType.names
+    props = feats.select("f.properties.*", *[F.col("f.id").alias("__fid")] * has_id)
+    ids = [F.col(p) for p in id_props if p in props.columns] + [F.col("__fid")] * has_id
+    region = F.coalesce(*ids).cast("string")
+    lsad = F.col(lsad_prop) if lsad_prop in props.columns else F.lit(None).cast("string")
+    name = X.county_label(region, name_prop, lsad) if lsad_prop else F.col(name_prop)
+    return props.select(region.alias("region_id"), name.alias("name"))
 
 
 def snapshot_table(raw: DataFrame) -> DataFrame:
@@ -126,8 +109,7 @@ def snapshot_table(raw: DataFrame) -> DataFrame:
         raise KeyError("missing practice-location country code column")
     codes = columns_by_prefix(raw, K.SNAPSHOT_TAXONOMY_CODE_PREFIX)
     switches = columns_by_prefix(raw, K.SNAPSHOT_TAXONOMY_SWITCH_PREFIX)
-    def q(name: str) -> Column:      # header names may contain dots
-        return F.col(f"`{name}`")
+    q = quoted
     a = K.SNAPSHOT_ADDRESS_COLUMNS
     return raw.filter(F.col("ym") != "").select(
         q("NPI").alias("npi"), "ym",
@@ -153,14 +135,19 @@ def merge_claims(claims: DataFrame, snapshots: DataFrame) -> DataFrame:
         "practice_zip5", "practice_country_code", "primary_taxonomy_code")
 
 
-MERGED_SCHEMA = StructType(
-    [StructField(c, StringType()) for c in K.MERGED_COLUMNS[:4]]
-    + [StructField("beneficiaries_served_count", LongType()), StructField("claims_count", LongType()),
-       StructField("total_amount_paid", DecimalType(18, 2))]
-    + [StructField(c, StringType()) for c in K.MERGED_COLUMNS[7:]])
+def read_merged(spark: SparkSession, path: str, extra: tuple[str, ...] = (), bad: str = "raise") -> DataFrame:
+    """Merged-claims CSV by header name (ids and ZIPs stay text, counts
+    BIGINT, money DECIMAL(18,2)). ``extra`` names further text columns, such
+    as ``county_fips`` of the geocoded claims that the aggregates start from."""
+    kinds = {"beneficiaries_served_count": "bigint", "claims_count": "bigint", "total_amount_paid": "decimal(18,2)"}
+    df = read_csv(spark, path, [*K.MERGED_COLUMNS, *extra])
+    return df.select(*[(typed(c, kinds[c], bad) if c in kinds else quoted(c)).alias(c) for c in [*K.MERGED_COLUMNS, *extra]])
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """Merged-claims CSV with the full schema declared (ids and ZIPs stay
-    text, money DECIMAL(18,2)); no inference pass over the data."""
-    return spark.read.schema(MERGED_SCHEMA).option("header", "true").csv(path)
+def read_geo_claims(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    """The geocoded claims CSV under the names that the aggregates expect."""
+    df = read_merged(spark, path, ("county_fips",), bad)
+    return df.select(F.col("servicing_npi").alias("servicing_id"), F.col("hcpcs_code").alias("code"), "year_month",
+                     F.col("beneficiaries_served_count").alias("benef"), F.col("claims_count").alias("claims"),
+                     F.col("total_amount_paid").alias("paid"), "practice_zip5",
+                     X.pad_id("county_fips", 5).alias("county_fips"))

@@ -7,10 +7,12 @@ that month (idempotent, safe to retry after a lost executor).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import LEVEL_KEYS, multi_level_aggregate, ndjson_lines
+from .csv import write_csv_files
 
 
 def write_by_month(df: DataFrame, path: str, ym: str = "ym", mode: str = "overwrite") -> None:
@@ -21,20 +23,25 @@ def write_by_month(df: DataFrame, path: str, ym: str = "ym", mode: str = "overwr
 
 
 def write_ndjson(agg: DataFrame, path: str, period_field: str = "year") -> DataFrame:
-    """K3 + A27: keyed NDJSON lines (one per key, sorted records) written as
-    text; returns the (#keys, #records) counts as a one-row DataFrame."""
-    lines = ndjson_lines(agg, period_field)
+    """K3 + A27: keyed NDJSON lines (one per key, in key order, sorted
+    records) written as text; returns the (#keys, #records) counts as a one-row DataFrame."""
+    seen = Observation()
+    # Counted while it is written, above the sort (which samples what is below).
+    lines = ndjson_lines(agg, period_field).orderBy("key").observe(
+        seen, F.count(F.lit(1)).alias("n_keys"), F.sum("n_records").alias("n_records"))
     lines.select("line").write.mode("overwrite").text(path)
-    return lines.agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_records").alias("n_records"))
+    counts = seen.get
+    return agg.sparkSession.createDataFrame([(counts["n_keys"], counts["n_records"])], "n_keys bigint, n_records bigint")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
-    """K5/K6/K8: pinned column order, header, NULL written as an empty field
-    and quoting where a value needs it; ``order`` sorts the output."""
+    """K5/K6/K8: pinned column order, header, NULL written as an empty field,
+    values with a quote, comma or line break quoted with doubled quotes,
+    blanks kept; ``order`` sorts the output over its part files."""
     out = df.select(*columns)
     if order:
         out = out.orderBy(*order)
-    out.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)
+    write_csv_files(out, path)
 
 
 def write_id_cache(snaps: DataFrame, path: str, sid: str = "npi", ym: str = "ym") -> None:
@@ -43,19 +50,22 @@ def write_id_cache(snaps: DataFrame, path: str, sid: str = "npi", ym: str = "ym"
 
 
 def missing_months(wanted: DataFrame, done_path: str, spark=None, ym: str = "ym") -> DataFrame:
-    """Months of ``wanted`` that have no partition under ``done_path``."""
+    """Months of ``wanted`` that have no partition under ``done_path``
+    (all of them while nothing is there; any other failure raises)."""
     spark = spark or wanted.sparkSession
     try:
-        done = spark.read.parquet(done_path).select(ym).distinct()
-    except Exception:  # nothing written yet
+        done = spark.read.parquet(done_path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return wanted.select(ym).distinct()
-    return wanted.select(ym).distinct().join(done, ym, "left_anti")
+    return wanted.select(ym).distinct().join(done.select(ym).distinct(), ym, "left_anti")
 
 
 def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """K8: a sorted report as one CSV with a header (reports are small:
-    one row per month, bucket or address failure)."""
-    write_csv(df.coalesce(1), path, df.columns, order)
+    """K8: a sorted report as CSV with a header; the part files follow the
+    order, as many as the report's size asks for."""
+    write_csv(df, path, df.columns, order)
 
 
 def write_all_outputs(base: DataFrame, root: str) -> DataFrame:

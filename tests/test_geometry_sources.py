@@ -130,6 +130,43 @@ def test_claims_csv_and_month_partitions(spark):
     assert back == {201801: 99, 201802: 2} or back == {"201801": 99, "201802": 2}   # only 201801 replaced
 
 
+def test_claims_are_bound_by_name_and_bad_numbers_raise(spark):
+    d = scratch()
+    p = os.path.join(d, "c.csv")
+    with open(p, "w") as fh:
+        fh.write("BILLING_PROVIDER_NPI_NUM,SERVICING_PROVIDER_NPI_NUM,TOTAL_PAID,TOTAL_CLAIMS,EXTRA,HCPCS_CODE,"
+                 "CLAIM_FROM_MONTH,TOTAL_UNIQUE_BENEFICIARIES\n")
+        fh.write('BILL,SERV,1.50,bad,"say ""hi"", ok",D1, 2018-01,3\n')
+    row = RD.read_claims(spark, p, bad="null").first()
+    assert (row.servicing_id, row.billing_id, row.claims, row.year_month) == ("SERV", "BILL", None, " 2018-01")
+    with pytest.raises(Exception, match="TOTAL_CLAIMS: not a bigint"):
+        RD.read_claims(spark, p).collect()
+    with pytest.raises(KeyError, match="county_fips"):
+        RD.read_merged(spark, p, ("county_fips",))
+    with open(os.path.join(d, "d.csv"), "w") as fh:
+        fh.write("SERVICING_PROVIDER_NPI_NUM,BILLING_PROVIDER_NPI_NUM,TOTAL_PAID,TOTAL_CLAIMS,EXTRA,HCPCS_CODE,"
+                 "CLAIM_FROM_MONTH,TOTAL_UNIQUE_BENEFICIARIES\nS,B,1,2,,D1,2018-01,3\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):          # a second file with another header
+        RD.read_claims(spark, d, bad="null").collect()
+
+
+def test_snapshots_of_two_headers(spark):
+    d = scratch()
+    for name, head, line in (("npi_raw_201801.csv", "NPI,City,Zip", "1,Rome,00100"), ("npi_raw_201802.csv", "Zip,NPI,City,New", "00200,2,Oslo,x")):
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write(f"{head}\n{line}\n")
+    got = {r.NPI: (r.City, r.Zip, r.New, r.ym) for r in RD.read_snapshots(spark, os.path.join(d, "*.csv")).collect()}
+    assert got == {"1": ("Rome", "00100", None, "201801"), "2": ("Oslo", "00200", "x", "201802")}
+
+
+def test_malformed_ndjson_raises(spark):
+    d = scratch()
+    with open(os.path.join(d, "x.txt"), "w") as fh:
+        fh.write('{"CA": [{"year": "2020", "category": "x"}]}\n{"NY": oops\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        RD.read_keyed_ndjson(spark, d, check_duplicates=False).collect()
+
+
 def test_snapshot_names_and_prefix_columns(spark):
     d = scratch()
     for name in ("npi_raw_201801.csv", "npi_raw_201802.csv", "readme.csv"):
