@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as X
+from .snapshot import month_distance
 
 
 def _pct(num, den) -> F.Column:
@@ -22,22 +23,22 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def coverage_report(facts_by_id: DataFrame, merged_by_month: DataFrame, dropped: DataFrame,
-                    recov: DataFrame) -> DataFrame:
+def coverage_report(marked: DataFrame, window: int = 1) -> DataFrame:
     """Per month: claim rows, merged rows, dropped = claims − merged
-    (the reference's count, D2) and the true anti-join rows, drop %, dropped
-    ids, rows/ids recoverable within the window, recovery % of drops."""
-    f = facts_by_id.groupBy("year_month").agg(F.sum("n_rows").alias("hhs_dental_rows"))
-    m = merged_by_month.select("year_month", "merged_rows")
-    d = dropped.groupBy("year_month").agg(F.count(F.lit(1)).alias("dropped_npis"),
-                                          F.sum("n_rows").alias("anti_rows"))
-    r = recov.groupBy("year_month").agg(F.count(F.lit(1)).alias("recoverable_npis"),
-                                        F.sum("n_rows").alias("recoverable_rows"))
-    j = f.join(m, "year_month", "left").join(d, "year_month", "left").join(r, "year_month", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    j = j.select("year_month", z("hhs_dental_rows").alias("hhs_dental_rows"), z("merged_rows").alias("merged_rows"),
-                 z("dropped_npis").alias("dropped_npis"), z("anti_rows").alias("anti_rows"),
-                 z("recoverable_npis").alias("recoverable_npis"), z("recoverable_rows").alias("recoverable_rows"))
+    (the reference's count, D2) and the true drops, drop %, dropped ids,
+    rows/ids recoverable within the window, recovery % of drops. One aggregate
+    over the marked (month, id) groups (:func:`snapshot.mark_presence`)."""
+    gone = ~F.col("in_same_month")
+    back = gone & F.coalesce(month_distance() <= window, F.lit(False))
+
+    def rows(when, value=F.col("n_rows")):
+        return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("bigint")
+
+    j = marked.groupBy("year_month").agg(
+        F.sum("n_rows").cast("bigint").alias("hhs_dental_rows"),
+        rows(F.col("in_same_month"), F.col("n_rows") * F.col("same_rows")).alias("merged_rows"),
+        F.count_if(gone).alias("dropped_npis"), rows(gone).alias("anti_rows"),
+        F.count_if(back).alias("recoverable_npis"), rows(back).alias("recoverable_rows"))
     dropped_rows = F.col("hhs_dental_rows") - F.col("merged_rows")
     return j.select(
         X.normalize_month("year_month").alias("year_month"),
@@ -63,20 +64,17 @@ def coverage_total(report: DataFrame) -> DataFrame:
         _pct(res, F.col("hhs_dental_rows")).alias("residual_pct_of_total"))
 
 
-def distance_buckets(nearest: DataFrame, dropped: DataFrame, edges=K.DISTANCE_EDGES) -> DataFrame:
+def distance_buckets(dropped: DataFrame, edges=K.DISTANCE_EDGES) -> DataFrame:
     """Dropped (month, id) groups and rows by nearest-month distance:
     ``<=1``, ``<=3``, ``<=6``, ``<=12``, ``>12``, ``never``; rows with a NULL
     id (which can never match) are the ``null_id`` bucket. Shares are of all
     dropped rows."""
-    b = None
+    distance = month_distance()
+    b = F.when(F.col("servicing_id").isNull(), "null_id").when(distance.isNull(), "never")
     for e in edges:
-        c = F.col("distance") <= e
-        b = F.when(c, F.lit(f"<={e}")) if b is None else b.when(c, F.lit(f"<={e}"))
-    b = F.when(F.col("distance").isNull(), F.lit("never")).otherwise(b.otherwise(F.lit(f">{edges[-1]}")))
-    nn = nearest.select(b.alias("bucket"), "n_rows")
-    nulls = dropped.filter(F.col("servicing_id").isNull()).select(F.lit("null_id").alias("bucket"), "n_rows")
-    g = nn.unionByName(nulls).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_id_months"),
-                                                     F.sum("n_rows").cast("bigint").alias("n_rows"))
+        b = b.when(distance <= e, F.lit(f"<={e}"))
+    g = dropped.groupBy(b.otherwise(F.lit(f">{edges[-1]}")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_id_months"), F.sum("n_rows").cast("bigint").alias("n_rows"))
     total = F.sum("n_rows").over(Window.partitionBy())
     return g.select("bucket", "n_id_months", "n_rows", _pct(F.col("n_rows"), total).alias("pct_of_dropped_rows"))
 

@@ -17,7 +17,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -47,75 +47,75 @@ def id_months(facts: DataFrame, fid: str = "servicing_id", fym: str = "year_mont
     return g.filter(F.col("n_rows") > 0).withColumn("mi", X.month_index("year_month"))
 
 
-def snapshot_ids(snaps: DataFrame, sid: str = "npi", sym: str = "ym") -> DataFrame:
-    """The (id, month) pairs of the snapshots, NULL ids removed (F2)."""
-    return (snaps.select(F.col(sid).alias("npi"), F.col(sym).alias("ym")).filter(F.col("npi").isNotNull())
-                 .distinct().withColumn("mi", X.month_index("ym")))
-
-
 def ever_seen(snaps: DataFrame, sid: str = "npi") -> DataFrame:
     """Every id present in any month."""
     return snaps.select(F.col(sid).alias("npi")).filter(F.col("npi").isNotNull()).distinct()
 
 
-def merged_rows_by_month(facts_by_id: DataFrame, snaps: DataFrame, sid: str = "npi",
-                         sym: str = "ym") -> DataFrame:
+def mark_presence(facts_by_id: DataFrame, snaps: DataFrame, sid: str = "npi", sym: str = "ym") -> DataFrame:
+    """The (month, id) groups of :func:`id_months` with ``same_rows`` (snapshot
+    rows of the id in that month), ``prev_mi`` / ``next_mi`` (the nearest
+    earlier and later month in which the id is present) and ``in_same_month``
+    / ``in_any_month``. J5, J6, J7 and J13 are columns and filters of it.
+
+    Facts and snapshot rows of an id meet once, in one window over the id's
+    months; facts arrive as one row per (month, id), so a hot id holds no more
+    rows than there are months. NULL ids are never present. Each side is read
+    once and shuffled once (the facts also for their aggregate).
+    """
+    mi = F.col("mi") if "mi" in snaps.columns else X.month_index(sym)
+    extra = [c for c in facts_by_id.columns if c not in ("year_month", "servicing_id", "mi")]
+    seen = (snaps.filter(F.col(sid).isNotNull())
+            .select(F.lit(None).cast("string").alias("year_month"), F.col(sid).alias("servicing_id"), mi.alias("mi"),
+                    *[F.lit(None).cast(facts_by_id.schema[c].dataType).alias(c) for c in extra], F.lit(1).alias("k")))
+    events = facts_by_id.select("year_month", "servicing_id", "mi", *extra, F.lit(0).alias("k")).unionByName(seen)
+    w = Window.partitionBy("servicing_id").orderBy("mi")
+    present = F.when(F.col("k") == 1, F.col("mi"))
+    marked = events.select(
+        "*", F.sum("k").over(w.rangeBetween(0, 0)).alias("same_rows"),
+        F.max(present).over(w.rangeBetween(Window.unboundedPreceding, -1)).alias("prev_mi"),
+        F.min(present).over(w.rangeBetween(1, Window.unboundedFollowing)).alias("next_mi"))
+    same = F.col("same_rows") > 0
+    return marked.filter("k = 0").drop("k").select(
+        "*", same.alias("in_same_month"),
+        (same | F.col("prev_mi").isNotNull() | F.col("next_mi").isNotNull()).alias("in_any_month"))
+
+
+def merged_rows_by_month(marked: DataFrame) -> DataFrame:
     """Rows the same-month inner join (J1) produces, per month, without
-    joining raw rows: each (month, id) group's row count times the number of
-    snapshot rows for that (id, month). Duplicate snapshot rows multiply the
-    count exactly as the row join does (D2)."""
-    mult = (snaps.filter(F.col(sid).isNotNull())
-                 .groupBy(F.col(sid).alias("__n"), F.col(sym).alias("__m"))
-                 .agg(F.count(F.lit(1)).alias("__k")))
-    j = facts_by_id.join(mult, (F.col("servicing_id") == F.col("__n")) & (F.col("year_month") == F.col("__m")))
-    return j.groupBy("year_month").agg(F.sum(F.col("n_rows") * F.col("__k")).alias("merged_rows"))
+    joining raw rows: each group's row count times the snapshot rows of that
+    (id, month). Duplicate snapshot rows multiply the count exactly as the row
+    join does (D2)."""
+    return (marked.filter("in_same_month").groupBy("year_month")
+            .agg(F.sum(F.col("n_rows") * F.col("same_rows")).alias("merged_rows")))
+
 
+def dropped_ids(marked: DataFrame) -> DataFrame:
+    """(month, id) groups with no same-month snapshot row; the NULL id is
+    always dropped."""
+    return marked.filter(~F.col("in_same_month"))
 
-def dropped_ids(facts_by_id: DataFrame, snap_ids: DataFrame) -> DataFrame:
-    """(month, id) groups with no same-month snapshot row (anti join);
-    the NULL id is always dropped."""
-    s = snap_ids.select(F.col("npi").alias("__n"), F.col("ym").alias("__m"))
-    return facts_by_id.join(s, (F.col("servicing_id") == F.col("__n")) & (F.col("year_month") == F.col("__m")),
-                            "left_anti")
 
+def month_distance() -> Column:
+    """Months from a marked group to the nearest other month with its id."""
+    return F.least(F.col("mi") - F.col("prev_mi"), F.col("next_mi") - F.col("mi")).cast("int")
 
-def recoverable(dropped: DataFrame, snap_ids: DataFrame, window: int = 1) -> DataFrame:
+
+def recoverable(dropped: DataFrame, window: int = 1) -> DataFrame:
     """Dropped groups whose id is present in a month within ±``window``
-    (the same month excluded). The offsets are exploded on the dropped side
-    and matched with an equi semi join on (id, month index)."""
-    offsets = F.array(*[F.lit(d) for d in range(-window, window + 1) if d != 0])
-    probe = dropped.withColumn("__mi", F.explode(F.transform(offsets, lambda d: F.col("mi") + d)))
-    s = snap_ids.select(F.col("npi").alias("__n"), F.col("mi").alias("__smi"))
-    hit = probe.join(s, (F.col("servicing_id") == F.col("__n")) & (F.col("__mi") == F.col("__smi")), "left_semi")
-    return hit.drop("__mi").dropDuplicates(["year_month", "servicing_id"])
+    (the same month excluded)."""
+    return dropped.filter(month_distance() <= window)
 
 
-def nearest_month(dropped: DataFrame, snap_ids: DataFrame) -> DataFrame:
+def nearest_month(dropped: DataFrame) -> DataFrame:
     """For each dropped (month, non-NULL id), the closest month in
     which the id is present and the distance; ties go to the earlier month.
     ``nearest_ym`` / ``distance`` are NULL when the id is never present."""
-    d = dropped.filter(F.col("servicing_id").isNotNull()).select(
-        "servicing_id", "year_month", "mi", "n_rows", F.lit(True).alias("is_drop"))
-    # Only ids that were dropped somewhere need their present months: a
-    # semi join shrinks the snapshot side before the window's shuffle.
-    wanted = d.select(F.col("servicing_id").alias("__sid")).distinct()
-    present = snap_ids.join(wanted, F.col("npi") == F.col("__sid"), "left_semi")
-    p = present.select(F.col("npi").alias("servicing_id"), F.lit(None).cast("string").alias("year_month"),
-                       "mi", F.lit(None).cast("long").alias("n_rows"), F.lit(False).alias("is_drop"))
-    ev = d.unionByName(p)
-    w = Window.partitionBy("servicing_id").orderBy("mi", "is_drop")
-    present_mi = F.when(~F.col("is_drop"), F.col("mi"))
-    prev_mi = F.last(present_mi, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    next_mi = F.first(present_mi, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    marked = ev.select("*", prev_mi.alias("prev_mi"), next_mi.alias("next_mi")).filter("is_drop")
-    dp = F.col("mi") - F.col("prev_mi")
-    dn = F.col("next_mi") - F.col("mi")
-    best = (F.when(F.col("prev_mi").isNull(), F.col("next_mi"))
-            .when(F.col("next_mi").isNull(), F.col("prev_mi"))
-            .when(dp <= dn, F.col("prev_mi")).otherwise(F.col("next_mi")))
-    return marked.select("year_month", "servicing_id", "n_rows",
-                         X.month_from_index(best, dashed=True).alias("nearest_ym"),
-                         F.abs(best - F.col("mi")).cast("int").alias("distance"))
+    before, after = F.col("mi") - F.col("prev_mi"), F.col("next_mi") - F.col("mi")
+    best = F.when(after.isNull() | (before <= after), F.col("prev_mi")).otherwise(F.col("next_mi"))
+    return dropped.filter(F.col("servicing_id").isNotNull()).select(
+        "year_month", "servicing_id", "n_rows", X.month_from_index(best, dashed=True).alias("nearest_ym"),
+        month_distance().alias("distance"))
 
 
 def month_coverage(fact_months: DataFrame, snap_months: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -135,19 +135,6 @@ def month_coverage(fact_months: DataFrame, snap_months: DataFrame, done: DataFra
     return j.withColumn("status", status)
 
 
-def membership(facts_by_id: DataFrame, snap_ids: DataFrame, ever: DataFrame) -> DataFrame:
-    """Mark each (month, id) group as present in the same month's
-    snapshot and in any month's, by two left joins on distinct keys."""
-    same = snap_ids.select(F.col("npi").alias("__n1"), F.col("ym").alias("__m1"), F.lit(True).alias("in_same_month"))
-    anym = ever.select(F.col("npi").alias("__n2"), F.lit(True).alias("in_any_month"))
-    j = (facts_by_id
-         .join(same, (F.col("servicing_id") == F.col("__n1")) & (F.col("year_month") == F.col("__m1")), "left")
-         .join(anym, F.col("servicing_id") == F.col("__n2"), "left"))
-    return j.select(*facts_by_id.columns,
-                    F.coalesce("in_same_month", F.lit(False)).alias("in_same_month"),
-                    F.coalesce("in_any_month", F.lit(False)).alias("in_any_month"))
-
-
 def stable_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """``n`` rows ordered by ``md5(key || seed)`` then key: the same rows
     for any partitioning and in any engine with md5."""

@@ -74,7 +74,7 @@ class Bindings:
         """Write the input roles under ``root`` (a folder in the shared
         checkpoint location) and route later bindings of this directory to
         them."""
-        (self.claims.repartition("year_month").write.mode("overwrite")
+        (self.claims.hint("rebalance", "year_month").write.mode("overwrite")     # big months are split over tasks
          .partitionBy("year_month").parquet(f"{root}/claims"))
         self.snapshots.write.mode("overwrite").parquet(f"{root}/snapshots")
         self.provider.write.mode("overwrite").parquet(f"{root}/provider")

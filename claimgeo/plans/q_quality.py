@@ -39,32 +39,29 @@ ID_CTES = {
 
 def _ids(spark, sf):
     b = bind(spark, sf)
-    fb = S.id_months(b.dental, measures=("claims", "paid"))
-    si = S.snapshot_ids(b.snapshots)
-    return b, fb, si, S.dropped_ids(fb, si)
+    marked = S.mark_presence(S.id_months(b.dental, measures=("claims", "paid")), b.snapshots)
+    return b, marked, S.dropped_ids(marked)
 
 
 @register("dropped_ids", with_views("SELECT year_month, servicing_id, CAST(n_rows AS BIGINT) AS n_rows FROM dr",
                                     ID_CTES))
 def dropped_ids(spark, sf):
     """(month, id) groups with no same-month snapshot, with their rows."""
-    return _ids(spark, sf)[3].select("year_month", "servicing_id", "n_rows")
+    return _ids(spark, sf)[2].select("year_month", "servicing_id", "n_rows")
 
 
 @register("recovery_window", with_views("SELECT year_month, servicing_id, CAST(n_rows AS BIGINT) AS n_rows FROM rc",
                                         ID_CTES))
 def recovery_window(spark, sf):
     """Dropped groups whose id is present within ±1 month."""
-    _, _, si, dr = _ids(spark, sf)
-    return S.recoverable(dr, si, 1).select("year_month", "servicing_id", "n_rows")
+    return S.recoverable(_ids(spark, sf)[2], 1).select("year_month", "servicing_id", "n_rows")
 
 
 @register("nearest_month", with_views(
     "SELECT year_month, servicing_id, CAST(n_rows AS BIGINT) AS n_rows, nearest_ym, distance FROM nm", ID_CTES))
 def nearest_month(spark, sf):
     """Closest month with the id present, for every dropped group."""
-    _, _, si, dr = _ids(spark, sf)
-    return S.nearest_month(dr, si)
+    return S.nearest_month(_ids(spark, sf)[2])
 
 
 @register("month_coverage", with_views("""
@@ -90,9 +87,8 @@ SELECT DISTINCT servicing_id FROM dr WHERE servicing_id IS NOT NULL
 EXCEPT SELECT npi FROM v_snapshots""", ID_CTES))
 def never_seen_ids(spark, sf):
     """Dropped ids that no snapshot month contains."""
-    b, _, _, dr = _ids(spark, sf)
-    return (dr.filter(F.col("servicing_id").isNotNull()).select("servicing_id")
-              .subtract(S.ever_seen(b.snapshots).select(F.col("npi").alias("servicing_id"))))
+    dr = _ids(spark, sf)[2]
+    return dr.filter(F.col("servicing_id").isNotNull() & ~F.col("in_any_month")).select("servicing_id").distinct()
 
 
 _COV_SQL = """
@@ -114,9 +110,7 @@ LEFT JOIN (SELECT year_month, count(*) ids, sum(n_rows) rows FROM rc GROUP BY 1)
 
 
 def _coverage(spark, sf):
-    b, fb, si, dr = _ids(spark, sf)
-    merged = S.merged_rows_by_month(fb, b.snapshots)
-    return Q.coverage_report(fb, merged, dr, S.recoverable(dr, si, 1))
+    return Q.coverage_report(_ids(spark, sf)[1], 1)
 
 
 @register("coverage_report", with_views(_COV_SQL, ID_CTES))
@@ -151,8 +145,7 @@ GROUP BY bucket"""
 
 
 def _buckets(spark, sf):
-    _, _, si, dr = _ids(spark, sf)
-    return Q.distance_buckets(S.nearest_month(dr, si), dr)
+    return Q.distance_buckets(_ids(spark, sf)[2])
 
 
 @register("drop_distance_buckets", with_views(_BUCKET_SQL, ID_CTES))
@@ -179,7 +172,7 @@ SELECT servicing_id FROM (SELECT DISTINCT servicing_id FROM dr WHERE servicing_i
 ORDER BY md5(servicing_id || '42'), servicing_id LIMIT 5""", ID_CTES))
 def dropped_sample(spark, sf):
     """Five dropped ids chosen by a seeded hash order."""
-    _, _, _, dr = _ids(spark, sf)
+    dr = _ids(spark, sf)[2]
     ids = dr.filter(F.col("servicing_id").isNotNull()).select("servicing_id").distinct()
     return S.stable_sample(ids, "servicing_id", 5, "42")
 
@@ -215,8 +208,7 @@ GROUP BY bucket"""
 @register("id_buckets", with_views(_ID_SQL, ID_CTES))
 def id_buckets(spark, sf):
     """Q5: servicing-id buckets with ids, rows, claims, dollars and shares."""
-    b, fb, si, _ = _ids(spark, sf)
-    return Q.id_bucket_report(S.membership(fb, si, S.ever_seen(b.snapshots)))
+    return Q.id_bucket_report(_ids(spark, sf)[1])
 
 
 # ---- colour scale -------------------------------------------------------------

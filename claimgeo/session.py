@@ -55,8 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2,
-                   max_partitions: int = 100_000) -> dict:
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
     """Size shuffles and splits for an input of ``input_bytes`` (e.g. the
     month-partitioned claims at ~100 TB) and apply the runtime SQL settings:
 
@@ -69,7 +68,7 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
 
     Returns the settings it applied. Nothing here changes results.
     """
-    n = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    n = max(200, -(-input_bytes // target_partition_bytes))
     conf = {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.enabled": "true",

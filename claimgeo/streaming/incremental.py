@@ -16,11 +16,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.sinks import write_by_month
 
 
+def touched_months(batch: DataFrame, month_col: str = "ym") -> list[str]:
+    """The months of a batch: a calendar-bounded list, small enough to name."""
+    return sorted(r[0] for r in batch.select(month_col).distinct().collect() if r[0] is not None)
+
+
+def months_of(spark: SparkSession, src: str, schema: StructType, months: list[str], month_col: str = "ym") -> DataFrame:
+    """All input rows of the named months: a literal filter on the partition
+    column, so only their folders are listed and read."""
+    return spark.read.schema(schema).parquet(src).filter(F.col(month_col).isin(months))
+
+
 def run_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: StructType,
                     transform: Callable[[DataFrame], DataFrame], month_col: str = "ym") -> None:
     """Process every month whose input changed since the last run.
@@ -30,9 +42,7 @@ def run_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str, sc
     output rows of those months (it must keep ``month_col``).
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        months = batch.select(month_col).distinct()
-        full = spark.read.schema(schema).parquet(src).join(months, month_col, "left_semi")
-        write_by_month(transform(full), dst, month_col)
+        write_by_month(transform(months_of(spark, src, schema, touched_months(batch, month_col), month_col)), dst, month_col)
 
     q = (spark.readStream.schema(schema).parquet(src)
          .writeStream.foreachBatch(process)

@@ -82,9 +82,8 @@ def _mi(ym):
 def test_id_sets_against_brute_force(spark):
     facts = spark.createDataFrame(FACTS, "servicing_id string, year_month string, claims bigint")
     snaps = spark.createDataFrame(SNAPS, "npi string, ym string")
-    fb = S.id_months(facts)
-    si = S.snapshot_ids(snaps)
-    dropped = S.dropped_ids(fb, si)
+    marked = S.mark_presence(S.id_months(facts), snaps)
+    dropped = S.dropped_ids(marked)
     present = {(n, y) for n, y in SNAPS}
     exp_dropped = {}
     for sid, ym, _ in FACTS:
@@ -93,12 +92,12 @@ def test_id_sets_against_brute_force(spark):
     got = {(r.servicing_id, r.year_month): r.n_rows for r in dropped.collect()}
     assert got == exp_dropped
 
-    rec = {(r.servicing_id, r.year_month) for r in S.recoverable(dropped, si, 1).collect()}
+    rec = {(r.servicing_id, r.year_month) for r in S.recoverable(dropped, 1).collect()}
     exp = {k for k in exp_dropped if k[0] is not None
            and any(n == k[0] and abs(_mi(y) - _mi(k[1])) == 1 for n, y in SNAPS)}
     assert rec == exp
 
-    near = {(r.servicing_id, r.year_month): (r.nearest_ym, r.distance) for r in S.nearest_month(dropped, si).collect()}
+    near = {(r.servicing_id, r.year_month): (r.nearest_ym, r.distance) for r in S.nearest_month(dropped).collect()}
     for (sid, ym) in exp_dropped:
         if sid is None:
             continue
@@ -114,14 +113,13 @@ def test_duplicate_snapshot_rows_hide_drops_only_in_the_delta(spark):
     """A repeated snapshot id multiplies merged rows; the anti join still counts true drops."""
     facts = spark.createDataFrame(FACTS, "servicing_id string, year_month string, claims bigint")
     snaps = spark.createDataFrame(SNAPS, "npi string, ym string")
-    fb = S.id_months(facts)
-    si = S.snapshot_ids(snaps)
+    marked = S.mark_presence(S.id_months(facts), snaps)
     merged = S.snapshot_join(facts, snaps).groupBy("year_month").agg(F.count(F.lit(1)).alias("merged_rows"))
-    rep = Q.coverage_report(fb, merged, S.dropped_ids(fb, si), S.recoverable(S.dropped_ids(fb, si), si)).collect()
+    rep = Q.coverage_report(marked).collect()
     jan = [r for r in rep if r.year_month == "202001"][0]
     assert jan.hhs_dental_rows == 4 and jan.merged_rows == 2      # id 4 matched twice
     assert jan.dropped_rows == 2 and jan.anti_rows == 3           # delta hides one drop, anti join does not
-    by_month = {r.year_month: r.merged_rows for r in S.merged_rows_by_month(fb, snaps).collect()}
+    by_month = {r.year_month: r.merged_rows for r in S.merged_rows_by_month(marked).collect()}
     assert by_month == {r.year_month: r.merged_rows for r in merged.collect()}
 
 

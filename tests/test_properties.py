@@ -1,6 +1,8 @@
 """Properties: results independent of the partition count; invariants hold
 on the fixture; incremental equals batch (covered by the oracle test)."""
 
+import pytest
+
 import __spark_entry__ as E
 from claimgeo.plans.catalog import QUERIES
 
@@ -72,7 +74,7 @@ def test_size_for_input(spark):
                                           "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     try:
         conf = size_for_input(spark, 100 * 1024 ** 4)          # 100 TB
-        assert conf["spark.sql.shuffle.partitions"] == "100000"
+        assert conf["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (256 * 1024 ** 2))
         assert size_for_input(spark, 10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
         assert size_for_input(spark, 1024 ** 4)["spark.sql.shuffle.partitions"] == "4096"
     finally:
@@ -80,11 +82,47 @@ def test_size_for_input(spark):
             spark.conf.set(k, v)
 
 
-def test_anti_join_runs_on_pre_aggregated_groups(spark):
-    """The (month, id) pre-aggregate must stay below the anti join, so hot ids
-    are collapsed before any join shuffle."""
-    plan = E.queries()["dropped_ids"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    lines = plan.splitlines()
-    anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
-    agg = next(i for i, line in enumerate(lines) if "functions=[count(1)" in line)
-    assert agg > anti          # printed below = evaluated before (it is a child of the join)
+@pytest.mark.parametrize("name", ["coverage_report", "coverage_total", "drop_distance_buckets", "drop_verdict", "id_buckets",
+                                  "nearest_month", "never_seen_ids", "dropped_ids"])
+def test_coverage_family_reads_each_side_once(spark, tmp_path_factory, name):
+    """One scan of the claims and one of the registry, and the claims reach
+    the window over an id's months as (month, id) groups."""
+    from claimgeo.plans import bindings as B
+    key = SF001.rstrip("/")
+    try:
+        B.LANDED[key] = landed(spark, tmp_path_factory)
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        B.LANDED.pop(key, None)
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert sum("/claims" in line for line in scans) == 1 and sum("/snapshots" in line for line in scans) == 1
+    window = plan.index("Window [")
+    assert "functions=[count(1)" in plan[window:]              # printed below the window: evaluated before it
+    assert "AntiJoin" not in plan and "LeftAnti" not in plan
+
+
+_LANDED = {}
+
+
+def landed(spark, tmp_path_factory):
+    """The input roles of SF001, written once for these tests."""
+    from claimgeo.plans import bindings as B
+    if "root" not in _LANDED:
+        _LANDED["root"] = str(tmp_path_factory.mktemp("landed-once"))
+        B.Bindings(spark, SF001).land(_LANDED["root"])
+        B.LANDED.pop(SF001.rstrip("/"), None)
+    return _LANDED["root"]
+
+
+def test_incremental_rebuild_names_its_months_to_the_scan(spark, tmp_path_factory):
+    from claimgeo.plans.q_stream import INPUT_SCHEMA
+    from claimgeo.sources.sinks import write_by_month
+    from claimgeo.streaming.incremental import months_of, touched_months
+    src = str(tmp_path_factory.mktemp("months"))
+    rows = spark.createDataFrame([("1", f"2020-{m:02d}", m) for m in range(1, 13)], "servicing_id string, ym string, claims long")
+    write_by_month(rows, src)
+    assert touched_months(rows.filter("claims IN (3, 7)")) == ["2020-03", "2020-07"]
+    df = months_of(spark, src, INPUT_SCHEMA, ["2020-03", "2020-07"])
+    scan = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x][0]
+    assert "PartitionFilters: [ym" in scan and "2020-03" in scan
+    assert df.count() == 2 and df.select("ym").distinct().count() == 2
