@@ -77,3 +77,63 @@ def test_nulls_ties_repeats_single_and_empty(spark):
     one = spark.createDataFrame([(4, "x y z")], "doc_id long, text string")
     assert got(minhash.succession_fingerprints(one)) == plain([(4, "x y z")])
     assert minhash.succession_fingerprints(one.limit(0)).count() == 0
+
+
+def plain_classes(rows, threshold=0.8):
+    rows = [(i, t or "") for i, t in rows if i is not None]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+    for a, (i, t) in enumerate(rows):
+        for j, u in rows[:a]:
+            if t == u or jaccard(t, u) >= threshold:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_band_joined_classes_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    base = [str(rng.random()) for _ in range(120)]
+    for k in range(60):                       # near copies of one text, among them chains
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(120)] = str(rng.random())
+        rows.append((10_000 + k, " ".join(w)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "a b"), (20_003, "A  b"), (20_002, "a b")]
+    docs = spark.createDataFrame(rows + [(None, "x y")], "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS key")
+    want = plain_classes(rows)
+    for part_size in (16, 1024):
+        out = minhash.near_duplicates(docs, part_size=part_size).collect()
+        assert {r.doc_id: r.class_id for r in out if r.doc_id is not None} == want and len(out) == len(rows) + 1
+        assert [r.class_id for r in out if r.doc_id is None] == [None]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_forest_connects_what_is_connected():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 3, (40, 24))
+    sig[10:20] = sig[0]
+    sig[15, :3] = 9
+    for least in (0.4, 0.6, 0.9):
+        root = list(range(40))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i, j in minhash._forest(sig, least):
+            root[find(i)] = find(j)
+        for i in range(40):
+            seen, todo = {i}, [i]
+            while todo:
+                x = todo.pop()
+                for y in np.flatnonzero((sig == sig[x]).mean(axis=1) >= least):
+                    if int(y) not in seen:
+                        seen.add(int(y))
+                        todo.append(int(y))
+            assert seen == {k for k in range(40) if find(k) == find(i)}
