@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from bench import HEADLINE
 from check_oracle import compare
 from claimgeo.plans.bindings import TABLES, Bindings
 from claimgeo.plans.catalog import ORACLE, QUERIES
@@ -30,6 +31,21 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, line
 
 
+@pytest.fixture(scope="module")
+def landed(spark, tmp_path_factory):
+    from claimgeo.plans import bindings as B
+    root = str(tmp_path_factory.mktemp("landed"))
+    Bindings(spark, SF001).land(root)
+    yield
+    B.LANDED.pop(SF001.rstrip("/"), None)
+
+
+@pytest.mark.parametrize("name", HEADLINE)
+def test_benched_query_matches_oracle_on_landed_inputs(spark, con, landed, name):
+    line, ok = compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
+    assert ok, line
+
+
 def test_every_query_but_non_sql_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
