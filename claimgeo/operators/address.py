@@ -35,8 +35,8 @@ def dedupe_addresses(df: DataFrame, parts: list[str] = ADDRESS_PARTS,
     g = df.select(*parts, claims, paid, *norm)
     agg = g.groupBy(*[f"{p}__n" for p in parts]).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(claims).cast("bigint").alias("n_claims"),
-        F.sum(paid).cast("decimal(38,2)").alias("total_paid"),
+        F.coalesce(F.sum(claims), F.lit(0)).cast("bigint").alias("n_claims"),
+        F.coalesce(F.sum(paid), F.lit(0)).cast("decimal(38,2)").alias("total_paid"),
         *[F.min(p).alias(p) for p in parts],
     )
     return agg.select(

@@ -136,6 +136,28 @@ def multi_level_aggregate(base: DataFrame, levels: dict[str, str] = LEVEL_KEYS,
               .groupBy("grain", "level", "key", "period", "category").agg(*_resum()))
 
 
+def output_invariants(multi: DataFrame) -> DataFrame:
+    """A3 over every output of :func:`multi_level_aggregate` (both grains):
+    per level, ``grain_unique`` counts (key, period, category) that occur more
+    than once, ``annual_is_months`` those whose annual sums differ from the
+    sums of their months (a side without the group counts as 0)."""
+    keys = ["level", "key", "category"]
+    year = F.substring("period", 1, 4).alias("year")
+    per_output = multi.groupBy("grain", *keys, "period").agg(F.count(F.lit(1)).alias("n"), *_resum())
+    annual = F.col("grain") == "year"
+    differs = F.lit(False)
+    sums = []
+    for m in MEASURES:
+        sums += [F.coalesce(F.sum(F.when(annual, F.col(m))), F.lit(0)).alias(f"y_{m}"),
+                 F.coalesce(F.sum(F.when(~annual, F.col(m))), F.lit(0)).alias(f"m_{m}")]
+        differs = differs | (F.col(f"y_{m}") != F.col(f"m_{m}"))
+    g = per_output.groupBy(*keys, year).agg(F.count_if(F.col("n") > 1).alias("repeats"), *sums)
+    t = g.groupBy("level").agg(F.sum("repeats").cast("bigint").alias("grain_unique"), F.count_if(differs).alias("annual_is_months"))
+    return t.select("level", F.stack(F.lit(2), F.lit("grain_unique"), F.col("grain_unique"), F.lit("annual_is_months"),
+                                     F.col("annual_is_months")).alias("check", "n_bad")) \
+            .select("level", "check", "n_bad", (F.col("n_bad") == 0).alias("ok"))
+
+
 def roll_up(child_agg: DataFrame, parent_map: DataFrame, n: int = 2) -> DataFrame:
     """A2: parent totals from child totals (state = sum of its counties)."""
     with_parent = attach_parent(child_agg, "key", parent_map, n=n, alias="parent")

@@ -121,6 +121,27 @@ def invariant_annual_monthly(spark, sf):
     return _invariant(spark, sf, "monthly", "annual", same_level=True)
 
 
+_GRAINS = " UNION ALL ".join(
+    f"SELECT '{p}' AS grain, '{level}' AS level, {k} AS key, {p} AS period, category, sum(claims) c, sum(benef) b, sum(paid) p "
+    f"FROM v_base WHERE {k} IS NOT NULL GROUP BY {k}, {p}, category"
+    for p in ("year", "year_month") for level, k in A.LEVEL_KEYS.items())
+
+
+@register("output_invariants", with_views("""
+SELECT level, "check", CAST(n_bad AS BIGINT) AS n_bad, n_bad = 0 AS ok FROM (
+  SELECT level, 'grain_unique' AS "check", sum(n - 1) AS n_bad
+  FROM (SELECT grain, level, count(*) AS n FROM grains GROUP BY grain, level, key, period, category) GROUP BY level
+  UNION ALL
+  SELECT level, 'annual_is_months', count(*) FILTER (y.c IS DISTINCT FROM m.c OR y.b IS DISTINCT FROM m.b OR y.p IS DISTINCT FROM m.p)
+  FROM (SELECT * FROM grains WHERE grain = 'year') y
+  FULL JOIN (SELECT level, key, left(period, 4) AS period, category, sum(c) c, sum(b) b, sum(p) p
+             FROM grains WHERE grain = 'year_month' GROUP BY 1, 2, 3, 4) m USING (level, key, period, category)
+  GROUP BY level)""", {"grains": _GRAINS}))
+def output_invariants(spark, sf):
+    """A3: unique grain and annual = sum of months, for all three levels."""
+    return A.output_invariants(A.multi_level_aggregate(base(spark, sf), A.LEVEL_KEYS, ("year", "year_month")))
+
+
 @register("unmapped_prefix", with_views("""
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
        coalesce((SELECT string_agg(p, ',' ORDER BY p) FROM

@@ -96,6 +96,29 @@ def test_additivity_invariant_detects_a_change(spark):
     assert A.check_additive(fine, broken, ["key", "period", "category"]).count() == 1
 
 
+def test_output_invariants_find_repeats_and_differences(spark):
+    rows = [("year", "state", "AL", "2020", "P", 3, 4, 5), ("year_month", "state", "AL", "2020-01", "P", 1, 2, 2),
+            ("year_month", "state", "AL", "2020-02", "P", 2, 2, 3)]
+    schema = ("grain string, level string, key string, period string, category string, total_beneficiaries_served bigint, "
+              "total_claims bigint, total_amount_paid decimal(38,2)")
+    from decimal import Decimal
+
+    def bad(extra):
+        df = spark.createDataFrame([(*r[:-1], Decimal(r[-1])) for r in rows + extra], schema)
+        return {r.check: r.n_bad for r in A.output_invariants(df).collect()}
+    assert bad([]) == {"grain_unique": 0, "annual_is_months": 0}
+    assert bad([rows[1]]) == {"grain_unique": 1, "annual_is_months": 1}
+    assert bad([("year_month", "state", "CA", "2020-01", "P", 1, 2, 2)]) == {"grain_unique": 0, "annual_is_months": 1}
+
+
+def test_gate_without_row_counts(spark):
+    from claimgeo.operators import geocode as G
+    seen = spark.createDataFrame([("a", 3)], "address_id string, n_claim_rows bigint")
+    geo = spark.createDataFrame([("a", "M", 1.0, 2.0)], "address_id string, geocode_status string, latitude double, longitude double")
+    assert {r.check: r.ok for r in G.geocode_gate(seen, geo).collect()} == {
+        "unused_geocoded": True, "join_miss_rows": True, "unexpected_missing_rows": True, "all_checks": True}
+
+
 def test_share_names_prefix_filter_and_report(spark):
     from claimgeo.operators import export as E
     from claimgeo.operators import quality as Q
