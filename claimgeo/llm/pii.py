@@ -153,21 +153,29 @@ def contexts(before: Column, after: Column) -> Column:
     ), lambda p: p.isNotNull())
 
 
+def shape(value: Column) -> Column:
+    """What an identifier looks like; a pattern is bound to one shape, so that
+    mail addresses do not vouch for numbers."""
+    return F.when(F.contains(value, F.lit("@")), "@").when(value.rlike(r"\p{L}"), "a").otherwise("#")
+
+
 def confident_instances(spans: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
                         min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``(value, rank, score)`` of unseen instances that high-confidence
     patterns extract.
 
-    Edges link patterns to the distinct instances they extract. A pattern's
+    Edges link patterns (words around an instance, and its :func:`shape`) to
+    the distinct instances they extract. A pattern's
     confidence is the smoothed mean score of its instances; an instance's is 1
     for seeds, else the noisy-or of its confident patterns. Both are iterated
     ``rounds`` times. The kind is that of most seeds of its best pattern."""
-    seeds = spans.select(F.explode("base").alias("m")).select(
-        F.explode(contexts(F.col("m.before"), F.col("m.after"))).alias("pattern"), F.lower("m.value").alias("value"),
-        F.col("m.rank").alias("rank"))
-    unseen = spans.select(F.explode("tokens").alias("m")).select(
-        F.explode(contexts(F.col("m.before"), F.col("m.after"))).alias("pattern"), F.lower("m.value").alias("value"),
-        F.lit(None).cast("int").alias("rank"))
+    def edges_of(column: str, rank: Column) -> DataFrame:
+        one = spans.select(F.explode(column).alias("m")).select("m", rank.alias("rank"), F.explode(
+            contexts(F.col("m.before"), F.col("m.after"))).alias("around"))
+        return one.select(F.concat_ws(" ", shape(F.col("m.value")), "around").alias("pattern"),
+                          F.lower("m.value").alias("value"), "rank")
+
+    seeds, unseen = edges_of("base", F.col("m.rank")), edges_of("tokens", F.lit(None).cast("int"))
     edges = (seeds.unionByName(unseen).groupBy("pattern", "value").agg(F.min("rank").alias("rank")))
     support = (edges.groupBy("pattern")
                .agg(F.count("rank").alias("seeds"),

@@ -81,6 +81,14 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(not got[i] for i in got if i not in (90, 91)) and text
 
 
+def test_patterns_are_bound_to_a_shape(spark):
+    rows = [(i, f"now write to the desk u{i}@site{i}.org please") for i in range(20)] + [(50, "now write to the desk 12345678 please"),
+                                                                                    (51, "now write to the desk someone@host please")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [tuple(x) for x in r.extra] for r in pii.personal_data(d).collect()}
+    assert got[50] == [] and got[51] == [(22, 0, 34)]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.co and +1 (222) 555-1234!"), (1, "mail a@b.co and +1 (222) 555-1234!"), (2, None), (3, "clean"),
             (None, "ip 1.2.3.4"), (4, "1.2.3.4@b.co")]
