@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators.snapshot import filter_code_prefix, snapshot_join
 
 # Fixture assignment (not a reference value): nation key 0..23 -> state FIPS
 # prefix; nation 24 and anything else -> '99', a prefix that maps to no state.
@@ -197,13 +198,12 @@ class Bindings:
 
     @cached_property
     def dental(self) -> DataFrame:
-        return self.claims.filter(F.col("code").startswith("D"))
+        return filter_code_prefix(self.claims)
 
     @cached_property
     def merged(self) -> DataFrame:
         snap = self.snapshots
-        j = self.dental.join(
-            snap, (F.col("servicing_id") == snap["npi"]) & (F.col("year_month") == snap["ym"]), "inner")
+        j = snapshot_join(self.dental, snap)
         a = F.col("a")
         sa = _s(a)
         b3 = F.col("benef") % 3

@@ -12,5 +12,5 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from claimgeo.session import get_spark
-    s = get_spark("local[4]", {"spark.sql.shuffle.partitions": "8"})
+    s = get_spark("local[4]", {"spark.sql.shuffle.partitions": "4"})
     yield s
