@@ -68,6 +68,8 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict[str, floa
     tokens, 1 where a cell has no tokens. After ``rounds`` rounds the last
     margin is met exactly and the others as far as the cells allow."""
     cells = cut(cells.withColumn("tokens", F.col("tokens").cast("double")))
+    few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    small = F.broadcast if few else (lambda df: df)             # no margin has more categories than there are cells
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
     aims = {m: cut(targets_of(cells, m, (targets or {}).get(m), temperature)) for m in margins}
     # The raked weight is the tokens times one factor per margin; only the
@@ -78,13 +80,13 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict[str, floa
             weight, joined = F.col("tokens"), cells
             for other in margins:
                 if other != m:
-                    joined, weight = joined.join(factors[other], other), weight * F.col(f"f_{other}")
-            now = joined.groupBy(m).agg(F.sum(weight).alias("now")).join(aims[m], m, "left")
+                    joined, weight = joined.join(small(factors[other]), other), weight * F.col(f"f_{other}")
+            now = joined.groupBy(m).agg(F.sum(weight).alias("now")).join(small(aims[m]), m, "left")
             factors[m] = cut(now.select(m, F.coalesce(F.when(F.col("now") > 0, F.col("share") * F.lit(total) / F.col("now")),
                                                       F.lit(1.0)).alias(f"f_{m}")))
     rate = F.lit(1.0)
     for m in margins:
-        cells, rate = cells.join(factors[m], m), rate * F.col(f"f_{m}")
+        cells, rate = cells.join(small(factors[m]), m), rate * F.col(f"f_{m}")
     return cells.select(*margins, "tokens", F.when(F.col("tokens") > 0, rate).otherwise(1.0).alias("rate"))
 
 
