@@ -1,16 +1,23 @@
 """Cross-entropy difference scores (Moore and Lewis, 2010).
 
 Two bigram models, one of the target documents and one of the others, share
-one vocabulary: the corpus's most frequent words, hashed classes for all
-other words, and a boundary. Word counts and bigram counts cover every
-document; they are gathered as partial counts of each task and added up in
-Spark, so what is gathered grows with the corpus while the models stay of a
-fixed size (vocabulary squared), which bounds what is broadcast.
+one vocabulary: every word of the corpus, known by a 64-bit hash, and a
+boundary; or, if a caller asks for it, a fixed number of words and hashed
+classes of all others. Counts cover every document and stay in Spark.
+
+Scale: the bigrams of the ``HOT`` most frequent words (a bounded table) are
+broadcast and scored where the documents are read. Each other bigram goes,
+with the hash of its document, to a bucket of its rarer-than-hot word. A
+bucket holds every occurrence of its words, so it counts words, contexts and
+bigrams and scores them at once; what comes back is added up per document. No
+word outside the hot ones holds more than one part in ``HOT`` of the tokens,
+which bounds a bucket. Texts are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, cut, texts, whole_groups
 
-WORDS = 960                 # words with a class of their own
-UNKNOWN = 63                # hashed classes of all other words; with the boundary 1,024 classes
+WORDS = 960                 # words with a class of their own, if the vocabulary is not whole
+UNKNOWN = 63                # hashed classes of all other words
+HOT = 960                   # most frequent words, whose bigrams are broadcast
 SMOOTHING = 20.0            # pseudo-counts of the unigram model in each context
-FLUSH = 600_000             # distinct words a task holds before it hands counts on
+FLUSH = 600_000             # distinct words a task remembers or counts at a time
+CHUNK = 1_000_000           # tokens a task works on at a time
+BUCKET = 500_000            # tokens meant for a bucket
+AHEAD, LAST, BEHIND = 0, 1, 2    # a bucket's word follows another; so, and ends its text; comes before a hot one
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -32,25 +43,58 @@ def tokens(raw: bytes) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Word -> class. Class 0 is the boundary, then the known words, then the
-    hashed classes, remembered up to a bound."""
+    """Word -> class. Class 0 is the boundary. All other classes are 64-bit
+    hashes of the words; or, if ``words`` are given, their numbers from 1 on,
+    and then ``unknown`` hashed classes of all other words. Classes are
+    remembered up to a bound."""
 
-    def __init__(self, words: list[bytes], unknown: int = UNKNOWN):
-        super().__init__((w, i) for i, w in enumerate(words, 1))
-        self.first, self.unknown = len(words) + 1, unknown
-        self.size = self.first + unknown
+    def __init__(self, words: list[bytes] | None = None, unknown: int = 0):
+        super().__init__((w, i) for i, w in enumerate(words or [], 1))
+        self.whole, self.first, self.unknown = words is None, len(words or []) + 1, unknown
 
     def __missing__(self, word: bytes) -> int:
-        c = self.first + xxhash.xxh32_intdigest(word) % self.unknown
+        if self.whole:
+            c = xxhash.xxh3_64_intdigest(word) - (1 << 63) or 1
+        else:
+            c = self.first + xxhash.xxh32_intdigest(word) % self.unknown
         if len(self) < FLUSH:
             self[word] = c
         return c
 
-    def bigrams(self, raw: bytes) -> np.ndarray:
-        """Codes ``context * size + word`` of a text's bigrams, from the
-        boundary on."""
-        ids = np.array([0, *map(self.__getitem__, tokens(raw))], dtype=np.int64)
-        return ids[:-1] * self.size + ids[1:]
+    def classes(self, raw: bytes) -> np.ndarray:
+        """The boundary and the classes of a text's words."""
+        return np.array([0, *map(self.__getitem__, tokens(raw))], dtype=np.int64)
+
+
+class Chunk:
+    """Texts as one array of classes, each text from its boundary on."""
+
+    def __init__(self, parts: list[np.ndarray], rows: list[tuple]):
+        self.rows, self.classes = rows, np.concatenate(parts)
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes)
+        self.n = sizes - 1
+        self.row = np.repeat(np.arange(len(parts)), sizes)
+        self.word = np.ones(len(self.classes), dtype=bool)
+        self.word[ends - sizes] = False
+        self.context = np.ones(len(self.classes), dtype=bool)
+        self.context[ends - 1] = False
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[Chunk]:
+        """Chunks of batches whose first column is the text; ``rows`` are the
+        other columns."""
+        parts, rows, size = [], [], 0
+        for b in batches:
+            for t, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                parts.append(vocabulary.classes(t))
+                rows.append(rest)
+                size += len(parts[-1])
+                if size >= CHUNK:
+                    yield cls(parts, rows)
+                    parts, rows, size = [], [], 0
+        if parts:
+            yield cls(parts, rows)
 
 
 def frequent_words(docs: DataFrame, count: int) -> list[bytes]:
@@ -72,84 +116,192 @@ def frequent_words(docs: DataFrame, count: int) -> list[bytes]:
     return [bytes(r.word) for r in best.collect()]
 
 
-def bigram_counts(docs: DataFrame, words: list[bytes], unknown: int) -> DataFrame:
-    """``(code, target, background)`` over all rows ``(t, is_target)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+def word_counts(docs: DataFrame, words: list[bytes] | None, unknown: int) -> DataFrame:
+    """``(class, n_target, n_background, c_target, c_background)`` over all
+    rows ``(t, is_target)``: how often a class is a word, and a context."""
+    names = ["n_target", "n_background", "c_target", "c_background"]
+    schema = pa.schema([("class", pa.int64()), *((n, pa.int64()) for n in names)])
+
+    def run(batches):
+        for x in Chunk.of(batches, Vocabulary(words, unknown)):
+            target = np.array([bool(r[0]) for r in x.rows])[x.row]
+            seen, at = np.unique(x.classes, return_inverse=True)
+            sums = [np.bincount(at[which & side], minlength=len(seen)) for which in (x.word, x.context) for side in (target, ~target)]
+            yield batch({"class": pa.array(seen), **{n: pa.array(s) for n, s in zip(names, sums)}}, schema)
+
+    return (docs.select("t", "is_target").mapInArrow(run, "class long, " + ", ".join(f"{n} long" for n in names))
+            .groupBy("class").agg(*[F.sum(n).alias(n) for n in names]))
+
+
+def numbers(hot: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Places of classes among the ascending hot ones, -1 for all others."""
+    at = np.minimum(np.searchsorted(hot, classes), len(hot) - 1)
+    return np.where(hot[at] == classes, at, -1)
+
+
+def hot_bigrams(docs: DataFrame, hot: np.ndarray, words: list[bytes] | None, unknown: int) -> DataFrame:
+    """``(code, target, background)`` over all rows ``(t, is_target)`` of the
+    bigrams of hot classes; ``code`` is ``context * len(hot) + word``."""
     schema = pa.schema([("code", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
 
     def run(batches):
-        vocabulary = Vocabulary(sent.value, unknown)
-        cells = vocabulary.size ** 2
+        cells = len(hot) ** 2
         sums = np.zeros((2, cells), dtype=np.int64)
-        for b in batches:
-            sides = ([], [])
-            for t, is_target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sides[0 if is_target else 1].append(vocabulary.bigrams(t))
-            for side, codes in enumerate(sides):
-                if codes:
-                    sums[side] += np.bincount(np.concatenate(codes), minlength=cells)
+        for x in Chunk.of(batches, Vocabulary(words, unknown)):
+            h = numbers(hot, x.classes)
+            at = np.flatnonzero(x.context[:-1] & (h[:-1] >= 0) & (h[1:] >= 0))
+            target = np.array([bool(r[0]) for r in x.rows])[x.row[at]]
+            codes = h[at] * len(hot) + h[at + 1]
+            sums += [np.bincount(codes[target], minlength=cells), np.bincount(codes[~target], minlength=cells)]
         seen = np.flatnonzero(sums.any(axis=0))
-        for at in range(0, len(seen), 100_000):
-            part = seen[at:at + 100_000]
+        for lo in range(0, len(seen), 100_000):
+            part = seen[lo:lo + 100_000]
             yield batch({"code": pa.array(part), "target": pa.array(sums[0, part]), "background": pa.array(sums[1, part])}, schema)
 
     return (docs.select("t", "is_target").mapInArrow(run, "code long, target long, background long")
             .groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
 
-def log_model(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Natural log probabilities (context, word) of a bigram model: counts
-    with ``smoothing`` pseudo-counts of the unigram model, which adds one to
-    each word. The boundary is no word."""
-    words = counts.sum(axis=0) + 1.0
-    words[0] = 0.0
-    unigram = words / words.sum()
-    with np.errstate(divide="ignore"):
-        return np.log((counts + smoothing * unigram) / (counts.sum(axis=1, keepdims=True) + smoothing))
+def sums_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys and the sums of the values of each."""
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, [np.bincount(at, weights=v, minlength=len(keys)) for v in values]
 
 
 def cross_entropy_difference(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text",
-                             words: int = WORDS, unknown: int = UNKNOWN, smoothing: float = SMOOTHING) -> DataFrame:
+                             words: int | None = WORDS, unknown: int = UNKNOWN, smoothing: float = SMOOTHING,
+                             hot_words: int = HOT, bucket_tokens: int = BUCKET) -> DataFrame:
     """``(<id_col>, n_tokens, ce_target, ce_background, ce_difference)`` per
     row: mean losses per token in nats, and the mean of the per-token loss
     differences; the lower, the more the document is like the targets.
 
+    A bigram's probability is its count with ``smoothing`` pseudo-counts of
+    the unigram model, which adds one to each word of the vocabulary. The
+    vocabulary is every word if ``words`` is None, else the ``words`` most
+    frequent ones and ``unknown`` hashed classes of all others. ``hot_words`` and
+    ``bucket_tokens`` say where a bigram is counted, not how it is scored.
+
     ``is_target`` marks the rows of the target model (null counts as false);
     all other rows train the background model. Texts without words (null,
     empty) have zero tokens and zero scores. Rows with null ids and repeated
-    rows train and are scored like all others. A side without rows leaves its
-    model uniform over the vocabulary. Empty tables give an empty result;
-    other columns are ignored, whatever their names. Whole texts are used.
+    rows train and are scored like all others; a row is known by a 64-bit hash
+    of its id and text. A side without rows leaves its model uniform over the
+    vocabulary. Empty tables give an empty result; other columns are ignored,
+    whatever their names. Whole texts are used.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_col).cast("long").alias("id"), texts(docs, text_col).cast("binary").alias("t"),
                          F.coalesce(is_target, F.lit(False)).alias("is_target"))
-    known = frequent_words(source, words)
-    size = Vocabulary(known, unknown).size
-    cells = bigram_counts(source, known, unknown).toPandas()            # at most size squared rows
-    counts = np.zeros((2, size * size))
-    counts[0, cells["code"].to_numpy(dtype=np.int64)] = cells["target"]
-    counts[1, cells["code"].to_numpy(dtype=np.int64)] = cells["background"]
-    models = [log_model(c.reshape(size, size), smoothing).ravel() for c in counts]
-    sent = spark.sparkContext.broadcast((known, *models))
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()),
-                        ("ce_background", pa.float64()), ("ce_difference", pa.float64())])
+    known = None if words is None else frequent_words(source, words)
+    counts = cut(word_counts(source, known, unknown))
+    total = counts.agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b"),
+                       F.count(F.when(F.col("class") != 0, 1)).alias("size")).first()
+    size = total.size if known is None else len(known) + unknown
+    spread = [(total.t or 0) + size, (total.b or 0) + size]
+    top = counts.orderBy(F.col("class") != 0, F.desc(F.col("n_target") + F.col("n_background")), "class").limit(hot_words + 1)
+    top = sorted(top.collect(), key=lambda r: r["class"]) or [(0, 0, 0, 0, 0)]        # the boundary and hot_words at most
+    hot, table = np.array([r[0] for r in top], dtype=np.int64), np.array([r[1:] for r in top], dtype=np.float64).T
+    unigram = [smoothing * (table[s] + 1) / spread[s] for s in (0, 1)]
+    cells = hot_bigrams(source, hot, known, unknown).toPandas()                       # at most len(hot) squared rows
+    joint = np.zeros((2, len(hot) ** 2))
+    joint[0, cells["code"].to_numpy(dtype=np.int64)] = cells["target"]
+    joint[1, cells["code"].to_numpy(dtype=np.int64)] = cells["background"]
+    joint = np.log(joint + np.tile(unigram, len(hot)))
+    sent = sc.broadcast((known, hot, unigram, joint, np.log(table[2:] + smoothing)))
+    buckets = max(1, ((total.t or 0) + (total.b or 0)) // bucket_tokens)
+    fields = {"bucket": "long", "row": "binary", "class": "binary", "other": "binary", "way": "binary", "id": "long",
+              "n_tokens": "long", "target": "double", "background": "double"}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    schema = pa.schema([(k, kinds[v]) for k, v in fields.items()])
 
-    def run(batches):
-        known, target, background = sent.value
-        vocabulary = Vocabulary(known, unknown)
-        for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                codes = vocabulary.bigrams(t)
-                if len(codes):
-                    x, y = target[codes], background[codes]
-                    rows.append((len(codes), -x.mean(), -y.mean(), (y - x).mean()))
-                else:
-                    rows.append((0, 0.0, 0.0, 0.0))
-            n, x, y, d = map(list, zip(*rows)) if rows else ([], [], [], [])
-            yield batch({"id": b.column(0), "n_tokens": n, "ce_target": x, "ce_background": y, "ce_difference": d}, schema)
-
-    out = source.select("id", "t").mapInArrow(run, "id long, n_tokens long, ce_target double, ce_background double, "
-                                                   "ce_difference double")
-    return out.withColumnRenamed("id", id_col)
+    def deal(batches):
+        """Rows of documents (scored as far as bigrams are hot; ``bucket`` is
+        null) and of buckets (packed occurrences of the other bigrams)."""
+        known, hot, _, joint, context = sent.value
+        for x in Chunk.of(batches, Vocabulary(known, unknown)):
+            row = np.array([r[0] for r in x.rows], dtype=np.int64)
+            side = np.array([bool(r[1]) for r in x.rows])
+            h = numbers(hot, x.classes)
+            at = np.flatnonzero(x.context[:-1])
+            c, w = h[at], h[at + 1]
+            both, led = at[(c >= 0) & (w >= 0)], at[c >= 0]
+            code = h[both] * len(hot) + h[both + 1]
+            logs = [np.bincount(x.row[both], weights=joint[s, code], minlength=len(row))
+                    - np.bincount(x.row[led], weights=context[s, h[led]], minlength=len(row)) for s in (0, 1)]
+            yield batch({"bucket": pa.nulls(len(row), pa.int64()), "row": [r.tobytes() for r in row],
+                         **{k: pa.nulls(len(row), pa.binary()) for k in ("class", "other", "way")},
+                         "id": [r[2] for r in x.rows], "n_tokens": pa.array(x.n), "target": pa.array(logs[0]),
+                         "background": pa.array(logs[1])}, schema)
+            ahead, behind = at[w < 0], at[(w >= 0) & (c < 0)]
+            where = np.concatenate([ahead, behind])
+            key = x.classes[np.concatenate([ahead + 1, behind])]
+            other = np.concatenate([x.classes[ahead], h[behind + 1]])
+            way = np.concatenate([np.where(x.context[ahead + 1], AHEAD, LAST), np.full(len(behind), BEHIND)])
+            way = (2 * way + side[x.row[where]]).astype(np.uint8)
+            bucket = key % buckets
+            order = np.lexsort((key, bucket))
+            bucket, parts = bucket[order], [v[order] for v in (row[x.row[where]], key, other, way)]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(starts[1:], len(bucket))
+            packed = [[p[a:z].tobytes() for a, z in zip(starts, ends)] for p in parts]
+            yield batch({"bucket": pa.array(bucket[starts]), **dict(zip(("row", "class", "other", "way"), packed)),
+                         **{k: pa.nulls(len(starts), schema.field(k).type) for k in ("id", "n_tokens", "target", "background")}}, schema)
+
+    def meet(batches):
+        """Log probabilities of a bucket's occurrences, by document; rows of
+        documents as they are."""
+        _, _, unigram, _, _ = sent.value
+        out = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_rows", pa.int64()),
+                         *((k, schema.field(k).type) for k in ("n_tokens", "target", "background"))])
+        for g in whole_groups(batches, ["bucket"]):
+            of = g.column("bucket")
+            plain = g.filter(of.is_null()).combine_chunks()
+            if plain.num_rows:
+                row = np.frombuffer(b"".join(plain.column("row").to_pylist()), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row), plain.column("id").combine_chunks(), pa.array(np.ones_like(row)),
+                                                  *(plain.column(k).combine_chunks() for k in ("n_tokens", "target", "background"))],
+                                                 schema=out)
+            cold = g.filter(of.is_valid())
+            number = cold.column("bucket").to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else []
+            for a, z in zip(bounds[:-1], bounds[1:]):
+                row, key, other, way = (np.frombuffer(b"".join(cold.column(k).slice(a, z - a).to_pylist()), dtype=t) for k, t in
+                                        (("row", np.int64), ("class", np.int64), ("other", np.int64), ("way", np.uint8)))
+                side, way = way % 2 == 1, way // 2
+                behind = way == BEHIND
+                _, word = np.unique(key, return_inverse=True)
+                order = np.lexsort((other, behind, word))
+                change = np.ones(len(order), dtype=bool)
+                change[1:] = ((np.diff(other[order]) != 0) | (np.diff(word[order]) != 0)
+                              | (behind[order][1:] != behind[order][:-1]))
+                pair = np.empty(len(order), dtype=np.int64)
+                pair[order] = np.cumsum(change) - 1
+                logs = []
+                for s in (0, 1):
+                    mine = side == (s == 0)
+                    n = np.bincount(word[mine & ~behind], minlength=word.max() + 1)[word]
+                    led = np.bincount(word[mine & (way == AHEAD)], minlength=word.max() + 1)[word]
+                    mass = smoothing * (n + 1) / spread[s]
+                    mass[behind] = unigram[s][other[behind]]
+                    logs.append(np.log(np.bincount(pair[mine], minlength=pair.max() + 1)[pair] + mass)
+                                - np.where(way == AHEAD, np.log(led + smoothing), 0.0))
+                rows, sums = sums_by(row, *logs)
+                none = pa.nulls(len(rows), pa.int64())
+                zero = pa.array(np.zeros_like(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), none, zero, zero, *map(pa.array, sums)], schema=out)
+
+    keyed = source.select("t", F.xxhash64("id", "t").alias("row"), "is_target", "id")
+    dealt = keyed.mapInArrow(deal, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    # Rows of documents go anywhere: by their own hash.
+    dealt = dealt.repartition(F.coalesce("bucket", F.xxhash64("row"))).sortWithinPartitions("bucket")
+    found = (dealt.mapInArrow(meet, "row long, id long, n_rows long, n_tokens long, target double, background double")
+             .groupBy("row").agg(F.max("id").alias("id"), *[F.sum(k).alias(k) for k in ("n_rows", "n_tokens", "target", "background")]))
+    # Equal rows were added up: as many rows again, each with the mean.
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("copy"))
+
+    def mean(log: Column) -> Column:
+        return F.when(F.col("n_tokens") > 0, log / F.col("n_tokens")).otherwise(0.0)
+
+    return found.select(F.col("id").alias(id_col), (F.col("n_tokens") / F.col("n_rows")).cast("long").alias("n_tokens"),
+                        mean(-F.col("target")).alias("ce_target"), mean(-F.col("background")).alias("ce_background"),
+                        mean(F.col("background") - F.col("target")).alias("ce_difference"))

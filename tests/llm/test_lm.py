@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimgeo.llm import lm
 from claimgeo.llm.common import table
+from claimgeo.llm.queries import QUERIES
 
 from ..conftest import SF001, SF01
 
@@ -72,3 +73,40 @@ def test_nulls_empty_long_repeated_and_empty_tables(spark):
         assert g == pytest.approx(w, abs=1e-9) if g[0] is not None else g[1:] == pytest.approx(w[1:], abs=1e-9)
     assert lm.cross_entropy_difference(docs.limit(0), F.col("good")).count() == 0
     assert lm.cross_entropy_difference(docs.filter("doc_id = 1"), F.lit(True)).count() == 2
+
+
+def test_whole_vocabulary_against_plain_models(spark):
+    """No words beyond the corpus's own and every word its own class; hot and
+    bucketed bigrams score alike."""
+    docs = table(spark, SF001, "documents")
+    rows = [(r.doc_id, r.text, r.source == "src1") for r in docs.collect()]
+    distinct = len({w for _, t, _ in rows for w in (t or "").encode().lower().split()})
+    want = {i: x for i, *x in plain(rows, distinct, 0, lm.SMOOTHING)}
+    for options in ({}, {"hot_words": 3, "bucket_tokens": 5_000}):
+        got = lm.cross_entropy_difference(docs, F.col("source") == "src1", words=None, **options).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, t, b = want[r.doc_id]
+            assert r.n_tokens == n and (r.ce_target, r.ce_background, r.ce_difference) == pytest.approx((t, b, t - b), abs=1e-9)
+
+
+def test_rare_words_tell_documents_apart(spark):
+    """Documents of common words and one rare word each, known to one side."""
+    common = " ".join(f"w{i}" for i in range(1200))
+    rows = [(i, f"{common} {common} rare{i % 500}x{i % 2}", i % 2 == 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
+    got = {r.doc_id: r.ce_difference for r in lm.cross_entropy_difference(docs, F.col("good"), words=None).collect()}
+    assert max(got[i] for i in range(0, 2000, 2)) < min(got[i] for i in range(1, 2000, 2))
+
+
+def test_query_uses_the_whole_vocabulary(spark):
+    docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    rows = [(r.doc_id, r.text, r.doc_id in good) for r in docs.collect()]
+    distinct = len({w for _, t, _ in rows for w in (t or "").encode().lower().split()})
+    want = {i: x for i, *x in plain(rows, distinct, 0, lm.SMOOTHING)}
+    got = QUERIES["op10_lm_scoring"](spark, SF001).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, t, b = want[r.doc_id]
+        assert r.n_tokens == n and (r.ce_target, r.ce_background, r.ce_difference) == pytest.approx((t, b, t - b), abs=1e-9)
