@@ -32,13 +32,15 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 # A token with an '@' or a digit, from its first character on.
 TOKEN = r"(?:(?<!\S)|\G)[^\s0-9@]*+[0-9@]\S*+"
+# Two to ten short groups that hold digits, with single spaces between them.
+SPACED = r"(?<!\S)[A-Za-z]{0,4}+[0-9]{1,4}+[A-Za-z]{0,4}+(?:\x20[A-Za-z]{0,4}+[0-9]{1,4}+[A-Za-z]{0,4}+(?![\w@-])){1,9}+"
 LEAD = r"""^["'(\[{<]++"""
 TRAIL = r"""(?<!["')\]}>.,;:!?%$&*#])["')\]}>.,;:!?%$&*#]++$"""
 CONTEXT = 48               # characters on either side that hold the context words
+NEAR = 4                   # matches before (after, half of them) another that its context words may come from
 MIN_DIGITS = 5             # digits that make a token identifier-like
 MIN_SEEDS = 3              # distinct seed values that a pattern must extract
 MIN_CONFIDENCE = 0.85
-SMOOTHING = 1.0
 ROUNDS = 3
 CHUNK = 256
 
@@ -86,11 +88,22 @@ def valid(kind: str, value: Column) -> Column:
 
 def matches(hits: Column, gaps: Column) -> Column:
     """Array of ``(start, end, value, before, after)`` from the matches of a
-    pattern and the text between them; offsets are code points."""
-    at = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
-    after = F.slice(gaps, 2, F.size(hits))
-    near = F.zip_with(gaps, after, lambda g, a: F.struct(F.substring(g, -CONTEXT, CONTEXT).alias("before"),
-                                                         F.substring(a, 1, CONTEXT).alias("after")))
+    pattern and the text between them; offsets are code points. ``before``
+    and ``after`` are of the text itself, other matches included."""
+    n = F.size(hits)
+    at = F.zip_with(F.slice(gaps, 1, n), hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+    ends = F.zip_with(F.slice(gaps, 1, n), hits, lambda g, h: F.concat(F.substring(g, -CONTEXT, CONTEXT),
+                                                                       F.substring(h, -CONTEXT, CONTEXT)))
+    begins = F.zip_with(hits, F.slice(gaps, 2, n), lambda h, g: F.concat(F.substring(h, 1, CONTEXT), F.substring(g, 1, CONTEXT)))
+    before = F.transform(F.slice(gaps, 1, n), lambda g: F.substring(g, -CONTEXT, CONTEXT))
+    after = F.transform(F.slice(gaps, 2, n), lambda g: F.substring(g, 1, CONTEXT))
+    for k in range(1, NEAR + 1):
+        shifted = F.slice(F.concat(F.array_repeat(F.lit(""), k), ends), 1, n)
+        before = F.zip_with(shifted, before, lambda e, b: F.substring(F.concat(e, b), -CONTEXT, CONTEXT))
+    for k in range(1, NEAR // 2 + 1):
+        shifted = F.slice(F.concat(begins, F.array_repeat(F.lit(""), k)), k + 1, n)
+        after = F.zip_with(after, shifted, lambda a, b: F.substring(F.concat(a, b), 1, CONTEXT))
+    near = F.zip_with(before, after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
     return F.zip_with(F.zip_with(hits, running_sums(at), lambda h, e: F.struct(h.alias("value"), e.alias("end"))),
                       F.slice(near, 1, F.size(hits)),
                       lambda m, c: F.struct((m.end - F.length(m.value)).alias("start"), m.end.alias("end"),
@@ -101,10 +114,10 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: ``id``, ``row`` (a hash of id and text that links
     the later steps to it), ``base`` (valid base spans in order, each
     ``(start, rank, end, value, before, after)``) and ``tokens``
-    (identifier-like tokens)."""
+    (identifier-like tokens, also of several short groups)."""
     df = docs.select(F.col(id_col).alias("id"), texts(docs, text_col).alias("t"))
     df = df.withColumn("row", F.xxhash64("id", "t"))
-    patterns = {**PATTERNS, "token": TOKEN}
+    patterns = {**PATTERNS, "token": TOKEN, "spaced": SPACED}
     none = F.array().cast("array<string>")
     for kind, p in patterns.items():
         need = NEEDS.get(kind, "")
@@ -134,7 +147,7 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  | (F.length(d).between(12, 19) & luhn(d)))
         return ((F.length(d) >= MIN_DIGITS) | F.contains(m.value, F.lit("@"))) & ~known
 
-    tokens = F.filter(F.transform("token", bare), like_identifier)
+    tokens = F.filter(F.transform(F.concat("token", "spaced"), bare), like_identifier)
     return df.select("id", "row", F.array_sort(F.concat(*base)).alias("base"), tokens.alias("tokens"))
 
 
@@ -155,8 +168,9 @@ def contexts(before: Column, after: Column) -> Column:
 
 def shape(value: Column) -> Column:
     """What an identifier looks like; a pattern is bound to one shape, so that
-    mail addresses do not vouch for numbers."""
-    return F.when(F.contains(value, F.lit("@")), "@").when(value.rlike(r"\p{L}"), "a").otherwise("#")
+    mail addresses do not vouch for numbers. Each shape has base kinds that
+    seed it: e-mail, and all others (numbers, with letters or without)."""
+    return F.when(F.contains(value, F.lit("@")), "@").otherwise("#")
 
 
 def confident_instances(spans: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
@@ -166,8 +180,11 @@ def confident_instances(spans: DataFrame, rounds: int = ROUNDS, min_seeds: int =
 
     Edges link patterns (words around an instance, and its :func:`shape`) to
     the distinct instances they extract. A pattern's
-    confidence is the smoothed mean score of its instances; an instance's is 1
-    for seeds, else the noisy-or of its confident patterns. Both are iterated
+    confidence is Riloff's RlogF, at most 1: the mean score of its instances,
+    times the binary logarithm of the sum of their scores. The logarithm counts
+    up to twice ``min_confidence``, so that a confident pattern has a mean of
+    a half. An instance's score is 1 for seeds, else the noisy-or of its
+    confident patterns. Both are iterated
     ``rounds`` times. The kind is that of most seeds of its best pattern."""
     def edges_of(column: str, rank: Column) -> DataFrame:
         one = spans.select(F.explode(column).alias("m")).select("m", rank.alias("rank"), F.explode(
@@ -186,14 +203,14 @@ def confident_instances(spans: DataFrame, rounds: int = ROUNDS, min_seeds: int =
     edges = cut(edges.join(support.select("pattern", kind.alias("kind")), "pattern"))
     scored = edges.withColumn("score", F.when(F.col("rank").isNotNull(), 1.0).otherwise(0.0))
     for number in range(rounds):
-        pattern = (scored.groupBy("pattern")
-                   .agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTHING))).alias("confidence")))
+        strength = F.least(F.log2(F.sum("score")), F.lit(2 * min_confidence))
+        pattern = scored.groupBy("pattern").agg(F.least(F.avg("score") * strength, F.lit(1.0)).alias("confidence"))
         graded = edges.join(pattern, "pattern")
         sure = F.when(F.col("confidence") >= min_confidence, F.col("confidence"))
         # An instance that is a seed anywhere scores 1 wherever it occurs.
         instance = graded.groupBy("value").agg(
             F.max(F.col("rank").isNotNull()).alias("seed"),
-            (1 - F.exp(F.coalesce(F.sum(F.log(1 - F.least(sure, F.lit(0.999)))), F.lit(0.0)))).alias("or"),
+            (1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce(sure, F.lit(0.0)), F.lit(0.999)))))).alias("or"),
             F.max(F.struct(sure.alias("confidence"), (-F.col("kind")).alias("k"))).alias("best"))
         instance = instance.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("or")))
         if number < rounds - 1:

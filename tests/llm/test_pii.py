@@ -104,3 +104,35 @@ def test_empty_table_and_no_python(spark):
     assert pii.personal_data(d).count() == 0 and pii.redacted(d).count() == 0
     plan = pii.personal_data(spark.read.parquet(f"{SF001}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+CARDS = ["4111111111111111", "5500005555555559", "4012888888881881"]
+
+
+def extracted(d):
+    """(id, extracted text) of all contextual spans."""
+    rows = d.withColumnRenamed("doc_id", "id").join(pii.personal_data(d).select("id", "extra"), "id").collect()
+    return sorted((r.id, r.text[x.start:x.end], pii.KINDS[x.rank]) for r in rows for x in r.extra)
+
+
+def test_three_seeds_find_letters_and_spaced_groups(spark):
+    """Letter-bearing and spaced identifiers in a context of three seeds, not
+    the same kind of tokens elsewhere."""
+    rows = [(i, f"please use account number {c} today") for i, c in enumerate(CARDS)]
+    rows += [(10, "please use account number GB33BUKB20201555555555 today"), (11, "my account number DE89 3704 0044 0532 0130 07, thanks"),
+             (12, "a token = 9f86d081884c7d65 there"), (13, "chapters AB12 3456 7890 follow")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert extracted(d) == [(10, "GB33BUKB20201555555555", "card"), (11, "DE89 3704 0044 0532 0130 07", "card")]
+
+
+def test_contexts_are_of_the_text_not_of_the_gap(spark):
+    """Context words that hold digits themselves."""
+    rows = [(i, f"see form w2 line 5b {c} now") for i, c in enumerate(CARDS)] + [(10, "see form w2 line 5b X1234567 now"),
+                                                                               (11, "see form w2 line 6b X7654321 now")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert extracted(d) == [(10, "X1234567", "card")]
+
+
+def test_a_pattern_of_mostly_unknown_numbers_is_not_trusted(spark):
+    rows = [(i, f"order {c} sent") for i, c in enumerate(CARDS)] + [(10 + i, f"order 7700{i}13 sent") for i in range(4)]
+    assert extracted(spark.createDataFrame(rows, "doc_id long, text string")) == []
