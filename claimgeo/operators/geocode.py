@@ -99,6 +99,56 @@ def geocode_join(claims: DataFrame, geo: DataFrame, salt: int | None = None) ->
     return cs.join(gs, ["address_id", "__salt"], "left").drop("__salt")
 
 
+HOT_SHARE = 1000          # at most so many raw addresses hold more than 1 / HOT_SHARE of the rows
+
+
+def raw_addresses(claims: DataFrame, parts: list[str]) -> DataFrame:
+    """The distinct raw addresses (the ``parts`` as they are, NULLs too), each
+    with its row count ``n_rows_seen``: a map-side combined count."""
+    return claims.groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows_seen")).filter("n_rows_seen > 0")
+
+
+def address_dictionary(seen: DataFrame, geo: DataFrame, parts: list[str]) -> DataFrame:
+    """:func:`raw_addresses` with ``address_id`` and the reply's columns: the
+    id's normalisation and hash run once per raw address, not once per claim row."""
+    g = geo.select("address_id", "geocode_status", "county_fips", "county_name", "latitude", "longitude")
+    return with_address_id(seen, parts).join(g, "address_id", "left")
+
+
+def geocode_join_by_dictionary(claims: DataFrame, geo: DataFrame, parts: list[str], rows_per_task: int = 1_000_000) -> DataFrame:
+    """J2 without a regex or hash per claim row: claim rows meet the
+    :func:`address_dictionary` on their raw address parts.
+
+    The dictionary's counts show the hot addresses exactly. A raw address with
+    more than ``rows_per_task`` rows, and more than 1 / ``HOT_SHARE`` of all,
+    is split: its dictionary row is repeated once per part and its claim rows
+    are dealt over the parts by a hash of the row (the same on a retry). There
+    are at most ``HOT_SHARE`` such addresses at any size, so their list is
+    broadcast; all other rows join on one key each. NULL parts match NULL
+    parts, as in the address id."""
+    c = claims.drop("county_fips") if "county_fips" in claims.columns else claims
+    # The three uses of the counts differ above the exchange only, which Spark reuses.
+    seen = raw_addresses(c, parts)
+    total = seen.agg(F.sum("n_rows_seen")).scalar()
+    bound = F.greatest(F.lit(rows_per_task), F.ceil(total / F.lit(HOT_SHARE)))
+    spread = F.ceil(F.col("n_rows_seen") / bound).cast("int").alias("__parts")
+    hot = seen.select(*[F.col(p).alias(f"__{p}") for p in parts], spread).filter("__parts > 1")
+    words = address_dictionary(seen, geo, parts).select("*", spread).drop("n_rows_seen")
+
+    def same(a: DataFrame, b: DataFrame):
+        on = F.lit(True)
+        for p in parts:
+            on = on & a[p].eqNullSafe(b[f"__{p}"])
+        return on
+
+    dealt = c.join(F.broadcast(hot), same(c, hot), "left").select(
+        *c.columns, F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*c.columns), "__parts")).cast("int").alias("__part"))
+    repeated = words.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).select(
+        *[F.col(p).alias(f"__{p}") for p in parts], "__slot", *[x for x in words.columns if x not in (*parts, "__parts")])
+    out = dealt.join(repeated, same(dealt, repeated) & (dealt["__part"] == repeated["__slot"]), "left")
+    return out.drop("__part", "__slot", *[f"__{p}" for p in parts])
+
+
 def seen_counts(claims: DataFrame) -> DataFrame:
     """Claim rows per address id (partial aggregate before the shuffle)."""
     return claims.groupBy("address_id").agg(F.count(F.lit(1)).alias("n_claim_rows"))

@@ -112,6 +112,34 @@ def loss_waterfall(stages: list[tuple[str, DataFrame]]) -> DataFrame:
                             .otherwise(F.lit(0.0)), 6).alias("dropped_pct"))
 
 
+def loss_waterfall_once(claims: DataFrame, registry: DataFrame, kept: Column, located: Column,
+                        fid: str = "servicing_id", fym: str = "year_month", sid: str = "npi", sym: str = "ym") -> DataFrame:
+    """A13 in one pass over each side: claims reduced to (month, id) counts
+    while they are read, the registry (each row with its address located or
+    not) to the rows and located rows of an id in a month; one join of the two
+    groups gives every stage. No raw row is shuffled, a sentinel id is one
+    group a month, and registry rows that repeat an id multiply the joined rows as
+    the row join does (D2). The counts are aggregates, so a re-run task does
+    not count twice, as it would in accumulators."""
+    groups = claims.groupBy(F.col(fid).alias("__id"), F.col(fym).alias("__ym")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("k")).filter("n > 0")
+    seen = registry.filter(F.col(sid).isNotNull()).groupBy(F.col(sid).alias("__sid"), F.col(sym).alias("__sym")).agg(
+        F.count(F.lit(1)).alias("same"), F.count_if(located).alias("there"))
+    j = groups.join(seen, (F.col("__id") == F.col("__sid")) & (F.col("__ym") == F.col("__sym")), "left")
+    total = [F.coalesce(F.sum(x), F.lit(0)).cast("bigint") for x in
+             ("n", "k", F.col("k") * F.col("same"), F.col("k") * F.col("there"))]
+    names = ("source", "code_filter", "snapshot_join", "geocoded")
+    t = j.agg(*[x.alias(name) for x, name in zip(total, names)])
+    stages = []
+    for i, name in enumerate(names):
+        rows, before = F.col(name), F.col(names[max(i - 1, 0)])
+        stages.append(F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), rows.alias("rows"),
+                               (before - rows).alias("dropped"),
+                               F.round(F.when(before > 0, F.lit(100.0) * (before - rows) / before).otherwise(F.lit(0.0)), 6)
+                               .alias("dropped_pct")))
+    return t.select(F.inline(F.array(*stages)))
+
+
 def share_of_total(df: DataFrame, measures: list[str], suffix: str = "_pct") -> DataFrame:
     """Each measure as a percentage of its column total, for a small
     report (the total is a window over the whole report)."""

@@ -202,27 +202,33 @@ class Bindings:
 
     @cached_property
     def merged(self) -> DataFrame:
-        snap = self.snapshots
-        j = snapshot_join(self.dental, snap)
+        return self.addressed(snapshot_join(self.dental, self.snapshots))
+
+    def addressed(self, joined: DataFrame) -> DataFrame:
+        """T4 of joined claim and registry rows: the address parts as each
+        claim row spells them."""
+        return joined.select("servicing_id", "code", "year_month", "benef", "claims", "paid", "k", "a", "county_fips",
+                             *self._address_parts(F.col("benef") % 3))
+
+    @cached_property
+    def snapshot_addresses(self) -> DataFrame:
+        """Registry rows with the address parts (in one of their spellings)."""
+        return self.snapshots.select("npi", "ym", *self._address_parts(F.col("k") % 3))
+
+    @staticmethod
+    def _address_parts(spelling: Column) -> list[Column]:
         a = F.col("a")
         sa = _s(a)
-        b3 = F.col("benef") % 3
-        line1 = (F.when(b3 == 0, F.concat(sa, F.lit(" main  st")))
-                 .when(b3 == 1, F.concat(sa, F.lit(" MAIN ST ")))
+        line1 = (F.when(spelling == 0, F.concat(sa, F.lit(" main  st")))
+                 .when(spelling == 1, F.concat(sa, F.lit(" MAIN ST ")))
                  .otherwise(F.concat(sa, F.lit(" Main St"))))
         a3 = a % 3
         line2 = (F.when(a3 == 0, F.lit(None).cast("string"))
                  .when(a3 == 1, F.lit(""))
                  .otherwise(F.concat(F.lit("Suite "), sa)))
-        return j.select(
-            "servicing_id", "code", "year_month", "benef", "claims", "paid",
-            "k", "a", "county_fips",
-            line1.alias("practice_address_line_1"),
-            line2.alias("practice_address_line_2"),
-            F.concat(F.lit("City "), _s(a % 25)).alias("practice_city"),
-            F.concat(F.lit("S"), _s(a % 7)).alias("practice_state"),
-            F.col("zip5").alias("practice_zip5"),
-        )
+        return [line1.alias("practice_address_line_1"), line2.alias("practice_address_line_2"),
+                F.concat(F.lit("City "), _s(a % 25)).alias("practice_city"),
+                F.concat(F.lit("S"), _s(a % 7)).alias("practice_state"), F.col("zip5").alias("practice_zip5")]
 
     # -- geocoder reply -----------------------------------------------------------
     @cached_property

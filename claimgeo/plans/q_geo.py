@@ -73,8 +73,8 @@ SELECT {address_id_sql('m.')} AS address_id, m.year_month, m.servicing_id, m.cla
 FROM v_merged m LEFT JOIN v_geocoded g ON g.address_id = {address_id_sql('m.')}"""))
 def geocode_join(spark, sf):
     """Claim rows enriched with the geocoder reply by address id."""
-    _, claims, geo = _geo(spark, sf)
-    j = G.geocode_join(claims, geo)
+    b = bind(spark, sf)
+    j = G.geocode_join_by_dictionary(b.merged, b.geocoded, AD.ADDRESS_PARTS)
     return j.select("address_id", "year_month", "servicing_id", "claims", "geocode_status", "county_fips",
                     "latitude", "longitude")
 
@@ -198,10 +198,9 @@ FROM (SELECT 0 AS stage_no, 'source' AS stage, (SELECT CAST(count(*) AS BIGINT)
                                        WHERE g.latitude IS NOT NULL AND g.longitude IS NOT NULL))"""))
 def loss_waterfall(spark, sf):
     """Rows remaining and lost at each build stage."""
-    b, claims, geo = _geo(spark, sf)
-    located = G.geocode_join(claims, geo).filter(G.located())
-    return Q.loss_waterfall([("source", b.claims), ("code_filter", b.dental), ("snapshot_join", b.merged),
-                             ("geocoded", located)])
+    b = bind(spark, sf)
+    located = G.geocode_join_by_dictionary(b.snapshot_addresses, b.geocoded, AD.ADDRESS_PARTS)
+    return Q.loss_waterfall_once(b.claims, located, F.col("code").startswith("D"), G.located())
 
 
 # ---- geometry ---------------------------------------------------------------------

@@ -14,8 +14,11 @@ from ..operators import aggregate as A
 from ..operators import denominators as D
 from ..operators import export as E
 from ..operators import rates as R
+from ..operators import snapshot as S
 from ..session import checkpoint_dir
+from ..sources import bucketed as B
 from ..sources import csv as C
+from ..sources import publish as P
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from .catalog import bind, register
@@ -194,3 +197,76 @@ def subset_export_named(spark, sf):
     agg = A.category_aggregate(base(spark, sf), "county_fips", "year")
     return E.subset_export(agg, "county", b.enroll_county, ["1994", "1996"], ["preventive", "diagnostic"],
                            ids.filter("region_id < '30'"), county_names=names)
+
+
+_GRAINS = " UNION ALL ".join(
+    f"SELECT '{p}' AS grain, '{level}' AS level, {k} AS key, {p} AS period, category, sum(claims) c, sum(benef) b, sum(paid) p "
+    f"FROM v_base WHERE {k} IS NOT NULL GROUP BY {k}, {p}, category"
+    for p in ("year", "year_month") for level, k in A.LEVEL_KEYS.items())
+
+
+@register("published_outputs", with_views("""
+SELECT grain, level, key, period, category, CAST(b AS BIGINT) AS total_beneficiaries_served, CAST(c AS BIGINT) AS total_claims,
+       CAST(p AS DECIMAL(38,2)) AS total_amount_paid FROM grains""", {"grains": _GRAINS}))
+def published_outputs(spark, sf):
+    """K4 + K3 + A3: the six outputs written, audited on the stored files,
+    published by a rename, and read from where users find them."""
+    target = scratch(spark, "outputs")
+    P.publish_outputs(base(spark, sf), target, A.fips_dimension(spark))
+    return P.read_outputs(spark, target)
+
+
+@register("published_audit", with_views("""
+SELECT level, "check", CAST(n_bad AS BIGINT) AS n_bad, n_bad = 0 AS ok FROM (
+  SELECT level, 'one_line_a_key' AS "check", sum(n - 1) AS n_bad
+  FROM (SELECT level, grain, key, count(DISTINCT key) AS n FROM grains GROUP BY ALL) GROUP BY level
+  UNION ALL
+  SELECT level, 'grain_unique', sum(n - 1)
+  FROM (SELECT grain, level, count(*) AS n FROM grains GROUP BY grain, level, key, period, category) GROUP BY level
+  UNION ALL
+  SELECT level, 'annual_is_months', count(*) FILTER (y.c IS DISTINCT FROM m.c OR y.b IS DISTINCT FROM m.b OR y.p IS DISTINCT FROM m.p)
+  FROM (SELECT * FROM grains WHERE grain = 'year') y
+  FULL JOIN (SELECT level, key, left(period, 4) AS period, category, sum(c) c, sum(b) b, sum(p) p
+             FROM grains WHERE grain = 'year_month' GROUP BY 1, 2, 3, 4) m USING (level, key, period, category)
+  GROUP BY level
+  UNION ALL
+  SELECT 'state', 'state_is_counties', count(*) FILTER (s.c IS DISTINCT FROM k.c OR s.b IS DISTINCT FROM k.b OR s.p IS DISTINCT FROM k.p)
+  FROM (SELECT * FROM grains WHERE level = 'state') s
+  FULL JOIN (SELECT grain, postal AS key, period, category, sum(c) c, sum(b) b, sum(p) p
+             FROM grains JOIN fips_map ON state_fips = left(key, 2) WHERE level = 'county' GROUP BY ALL) k
+  USING (grain, key, period, category))""", {"grains": _GRAINS}))
+def published_audit(spark, sf):
+    """A3: the checks of the six outputs as stored, before they are published."""
+    return P.publish_outputs(base(spark, sf), scratch(spark, "outputs"), A.fips_dimension(spark))
+
+
+def bucketed_inputs(spark, sf, buckets: int = 4):
+    """Claims and registry of the fixture as tables bucketed by id in each month."""
+    b = bind(spark, sf)
+    tables = []
+    for name, df, key, month in (("claims", b.claims, "servicing_id", "year_month"), ("registry", b.snapshots, "npi", "ym")):
+        table = f"claimgeo_{name}_{uuid.uuid4().hex}"
+        B.write_bucketed(df, table, scratch(spark, f"bucketed-{name}"), key, month, buckets)
+        tables.append(spark.table(table))
+    return tables
+
+
+@register("snapshot_join_bucketed", with_views("""
+SELECT c.servicing_id, c.year_month, c.code, c.claims, s.zip5, s.county_fips
+FROM v_claims c, v_snapshots s
+WHERE c.code LIKE 'D%' AND s.npi = c.servicing_id AND s.ym = c.year_month"""))
+def snapshot_join_bucketed(spark, sf):
+    """J1 + S5 + K1: the same-month join over tables bucketed by id, without an exchange."""
+    claims, registry = bucketed_inputs(spark, sf)
+    j = B.bucketed_snapshot_join(S.filter_code_prefix(claims), registry)
+    return j.select("servicing_id", "year_month", "code", "claims", "zip5", "county_fips")
+
+
+@register("outputs_from_buckets", with_views("""
+SELECT grain, level, key, period, category, CAST(b AS BIGINT) AS total_beneficiaries_served, CAST(c AS BIGINT) AS total_claims,
+       CAST(p AS DECIMAL(38,2)) AS total_amount_paid FROM grains""", {"grains": _GRAINS}))
+def outputs_from_buckets(spark, sf):
+    """A1 + K4 over the bucketed join: all six outputs, whose only exchanges are those of the sums."""
+    claims, registry = bucketed_inputs(spark, sf)
+    merged = bind(spark, sf).addressed(B.bucketed_snapshot_join(S.filter_code_prefix(claims), registry))
+    return A.multi_level_aggregate(A.categorised_base(merged, A.fips_dimension(spark)), periods=("year", "year_month"))
