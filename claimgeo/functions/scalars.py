@@ -215,17 +215,18 @@ def margin_of_sum(cols: list) -> Column:
 def safe_rate(num, den, decimals: int | None = None) -> Column:
     """``num/den``, NULL when the denominator is NULL or not positive.
 
-    With ``decimals`` the ratio is rounded half-up in exact integer arithmetic
-    (``(2*num*10^d + den) div (2*den)``), so no binary rounding of the
-    quotient can move a digit. Requires integral, non-negative ``num``.
+    With ``decimals`` the ratio is rounded half-up in exact decimal arithmetic
+    (``(2*num*10^d + den) div (2*den)`` over 38 digits), so no binary rounding
+    of the quotient can move a digit and no count of a long overflows up to 18
+    decimals. Requires integral, non-negative ``num``.
     """
     n, d = _c(num), _c(den)
     if decimals is None:
         return F.when(d > 0, n.cast("double") / d.cast("double"))
-    scale = 10 ** decimals
-    dd = F.lit(2) * d.cast("long")
-    q = F.lit(2) * n.cast("long") * F.lit(scale) + d.cast("long")
-    return F.when(d > 0, ((q - F.pmod(q, dd)) / dd) / F.lit(float(scale)))
+    top = (n.cast("decimal(19,0)") * F.lit(2 * 10 ** decimals).cast("decimal(19,0)") + d.cast("decimal(19,0)")).cast("decimal(38,0)")
+    low = (d.cast("decimal(19,0)") * F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)")
+    q = (top - F.pmod(top, low)).cast("decimal(38,0)")
+    return F.when(d > 0, (q / low).cast("double") / F.lit(float(10 ** decimals)))
 
 
 def avg_paid(paid, claims) -> Column:

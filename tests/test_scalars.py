@@ -115,3 +115,14 @@ def test_county_label(spark):
                                 ("123456", "Long", "County")], "g string, n string, l string")
     got = [r[0] for r in df.select(X.county_label("g", "n", "l")).collect()]
     assert got == ["Los Angeles County, CA", "Nowhere Parish, 99", None]
+
+
+def test_rates_of_large_counts_are_exact(spark):
+    from fractions import Fraction
+    pairs = [(5 * 10 ** 12, 7), (9 * 10 ** 18, 1), (9 * 10 ** 18, 9 * 10 ** 18 - 1), (1, 3), (2, 3), (1, 2_000_000), (3, 2_000_000),
+             (0, 5), (4_600_000_000_001, 3), (7, 0)]
+    df = spark.createDataFrame(pairs, "n bigint, d bigint")
+    got = [r[0] for r in df.select(X.safe_rate("n", "d", 6).alias("r")).collect()]
+    for (n, d), r in zip(pairs, got):
+        want = None if d == 0 else float((2 * n * 10 ** 6 + d) // (2 * d)) / 1e6
+        assert r == want, (n, d, r, want, Fraction(n, d or 1))
