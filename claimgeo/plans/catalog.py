@@ -3,8 +3,7 @@
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` runs the operator on the
 bindings of ``sf_dir`` over whole tables. ``ORACLE[name]`` is the same
 question in DuckDB SQL against the raw tables (views restated in
-:mod:`oracle_views`). Queries without an oracle are genuinely not SQL
-(Douglas-Peucker, streaming) and get a rows-only check.
+:mod:`oracle_views`); every query here has one.
 """
 
 from __future__ import annotations
