@@ -86,11 +86,8 @@ ORACLE["op9_warc"] = """
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of quality 1; background: all others. Every
     word of the corpus is in the vocabulary."""
-    good = (table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-            .withColumn("is_good", F.lit(True)))
-    # A merge join at every size: the labelled ids grow with the documents.
-    docs = table(spark, sf_dir, "documents").join(good.hint("merge"), "doc_id", "left")
-    return lm.cross_entropy_difference(docs, F.col("is_good"), words=None)
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good, words=None)
 
 
 @query

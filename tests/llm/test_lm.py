@@ -82,7 +82,8 @@ def test_whole_vocabulary_against_plain_models(spark):
     rows = [(r.doc_id, r.text, r.source == "src1") for r in docs.collect()]
     distinct = len({w for _, t, _ in rows for w in (t or "").encode().lower().split()})
     want = {i: x for i, *x in plain(rows, distinct, 0, lm.SMOOTHING)}
-    for options in ({}, {"hot_words": 3, "bucket_tokens": 5_000}):
+    for options in ({}, {"hot_words": 3, "bucket_tokens": 5_000}, {"hot_words": 3, "coded_words": 40, "bucket_tokens": 5_000},
+                    {"hot_words": 0, "coded_words": 0}):
         got = lm.cross_entropy_difference(docs, F.col("source") == "src1", words=None, **options).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -110,3 +111,18 @@ def test_query_uses_the_whole_vocabulary(spark):
     for r in got:
         n, t, b = want[r.doc_id]
         assert r.n_tokens == n and (r.ce_target, r.ce_background, r.ce_difference) == pytest.approx((t, b, t - b), abs=1e-9)
+
+
+def test_targets_as_a_table_of_ids(spark):
+    """Null and repeated ids among the targets and the rows; clashing names; a rare word with many occurrences."""
+    rows = [(i, f"w{i % 7} spam x{i} spam y{i % 3}") for i in range(300)] + [(5, "w5 once more"), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS known", "3 AS hit", "4 AS is_good")
+    ids = [*range(0, 300, 4), 5, 5, None, 9999]
+    good = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    triples = [(i, t, i is not None and i in ids) for i, t in rows]
+    distinct = len({w for _, t in rows for w in t.split()})
+    key = lambda x: (str(x[0]), *x[1:])
+    want = sorted(plain(triples, distinct, 0, lm.SMOOTHING), key=key)
+    got = lm.cross_entropy_difference(docs, good, words=None, hot_words=2, coded_words=5, bucket_tokens=100).collect()
+    for g, w in zip(sorted([(r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in got], key=key), want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9)
