@@ -43,9 +43,9 @@ CHUNK = 1_000_000           # tokens a task works on at a time
 CHUNK_ROWS = 1 << 16        # documents a task works on at a time
 BUCKET = 500_000            # occurrences meant for a bucket
 RARE = 1 << 62              # classes from here on are hashes
-# Kinds of packed rows: documents; sums that come back; a rare word that follows another; so, and ends its
-# text; a rare word before a coded one; a pair of coded words.
-DOCUMENTS, SUMS, AHEAD, LAST, BEHIND, PAIR = range(6)
+# Kinds of packed rows: documents; sums that come back; a rare word that follows a coded one; so, and ends its
+# text; a rare word before a coded one; a pair of coded words; as the first two, after another rare word.
+DOCUMENTS, SUMS, AHEAD, LAST, BEHIND, PAIR, AHEAD_RARE, LAST_RARE = range(8)
 
 PACKED = {"bucket": "long", "chunk": "long", "kind": "int", "side": "int", "keys": "binary", "others": "binary",
           "locals": "binary", "ids": "array<long>"}
@@ -324,7 +324,8 @@ def cross_entropy_difference(docs: DataFrame, is_target: Column | DataFrame, id_
             yield packed({"chunk": [x.number], "kind": [DOCUMENTS], "keys": [x.n.astype(np.int64).tobytes()],
                           "others": [np.array(logs).tobytes()], "ids": [list(x.ids)]}, 1)
             far = w > last
-            kind = np.where(far, np.where(x.context[at + 1], AHEAD, LAST), np.where(leads, PAIR, BEHIND))
+            kind = np.where(far, np.where(leads, np.where(x.context[at + 1], AHEAD, LAST),
+                                          np.where(x.context[at + 1], AHEAD_RARE, LAST_RARE)), np.where(leads, PAIR, BEHIND))
             go = np.flatnonzero(~both)
             kind, c, w, row, far = kind[go], c[go], w[go], row[go], far[go]
             key = np.where(far, w, np.where(kind == PAIR, c * (last + 1) + w, c))
@@ -337,12 +338,13 @@ def cross_entropy_difference(docs: DataFrame, is_target: Column | DataFrame, id_
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = np.append(starts[1:], len(part))
             part = part[starts]
-            paired = part // 2 % 8 == PAIR
-            small = key.astype(np.uint32)
-            keys = [(small if p else key)[a:z].tobytes() for p, a, z in zip(paired.tolist(), starts.tolist(), ends.tolist())]
-            others = [b"" if p else other[a:z].tobytes() for p, a, z in zip(paired.tolist(), starts.tolist(), ends.tolist())]
+            kinds = part // 2 % 8
+            bounds = list(zip(kinds.tolist(), starts.tolist(), ends.tolist()))
+            pair, near = key.astype(np.uint32), other.astype(np.uint16)
+            keys = [(pair if k == PAIR else key)[a:z].tobytes() for k, a, z in bounds]
+            others = [b"" if k == PAIR else (other if k > PAIR else near)[a:z].tobytes() for k, a, z in bounds]
             yield packed({"bucket": pa.array(part // 16), "chunk": [x.number] * len(part),
-                          "kind": pa.array((part // 2 % 8).astype(np.int32)), "side": pa.array((part % 2).astype(np.int32)),
+                          "kind": pa.array(kinds.astype(np.int32)), "side": pa.array((part % 2).astype(np.int32)),
                           "keys": keys, "others": others, "locals": slices(row, starts, ends)}, len(part))
 
     def back(rows: list[np.ndarray], logs: list[np.ndarray]) -> pa.RecordBatch:
@@ -368,21 +370,24 @@ def cross_entropy_difference(docs: DataFrame, is_target: Column | DataFrame, id_
             bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else []
             for a, z in zip(bounds[:-1], bounds[1:]):
                 one = g.slice(a, z - a)
-                for paired in (True, False):
-                    kinds = one.column("kind").to_numpy()
-                    part = one.filter(pa.array((kinds == PAIR) == paired))
+                kinds = one.column("kind").to_numpy()
+                pairs, near, far = (one.filter(pa.array(which)) for which in (kinds == PAIR, kinds < PAIR, kinds > PAIR))
+                for part in (pairs, pa.concat_tables([near, far])):
                     if not part.num_rows:
                         continue
                     sizes = np.array([len(b) // 2 for b in part.column("locals").to_pylist()])
                     row = np.repeat(part.column("chunk").to_numpy() << 16, sizes) | joined(part.column("locals"), np.uint16)
                     side = np.repeat(part.column("side").to_numpy(), sizes)
-                    key = joined(part.column("keys"), np.uint32 if paired else np.int64).astype(np.int64)
-                    rows.append(row)
-                    if paired:
-                        logs.append(np.array(pair_logs(key, side, last, unigram)))
+                    if part is pairs:
+                        found = pair_logs(joined(part.column("keys"), np.uint32).astype(np.int64), side, last, unigram)
                     else:
-                        logs.append(np.array(rare_logs(key, joined(part.column("others"), np.int64), np.repeat(part.column("kind").to_numpy(), sizes),
-                                                       side, unigram, spread, smoothing)))
+                        kind = np.repeat(part.column("kind").to_numpy(), sizes)
+                        kind = np.where(kind > PAIR, kind - AHEAD_RARE + AHEAD, kind)
+                        other = np.concatenate([joined(near.column("others"), np.uint16).astype(np.int64),
+                                                joined(far.column("others"), np.int64)])
+                        found = rare_logs(joined(part.column("keys"), np.int64), other, kind, side, unigram, spread, smoothing)
+                    rows.append(row)
+                    logs.append(np.array(found))
                     held += len(row)
                 if held >= 4 * CHUNK:
                     yield back(rows, logs)
