@@ -13,6 +13,7 @@ from ..functions import constants as K
 from ..operators import aggregate as A
 from ..operators import denominators as D
 from ..operators import export as E
+from ..operators import geocode as G
 from ..operators import rates as R
 from ..operators import snapshot as S
 from ..session import checkpoint_dir
@@ -23,7 +24,7 @@ from ..sources import readers as RD
 from ..sources import sinks as SK
 from .catalog import bind, register
 from .oracle_views import with_views
-from .q_aggregate import base
+from .q_aggregate import SUMS_SQL, base
 from .q_rates import _LAYERED, _SUBSET_SQL, _agg_cte, _rate
 
 
@@ -71,13 +72,51 @@ def snapshot_scan(spark, sf):
         months = F.concat(F.lit("npi_raw_"), F.regexp_replace("ym", "-", ""))
         df.withColumn("file", months).drop("ym").repartition("file").write.partitionBy("file").options(**C.WRITE).csv(path)
         paths.append(path)
-    # The writer names the folder by month, not the file: take it from there.
-    out = None
-    for path in paths:
-        for df in RD.read_csv_groups(spark, f"{path}/*/*.csv"):
-            df = df.withColumn("ym", F.regexp_extract(F.col("_metadata.file_path"), K.SNAPSHOT_NAME_RE, 1))
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return RD.snapshot_table(out)
+    # The writer names the folder by month, not the file: the reader takes it from the path.
+    old, new = (RD.read_snapshots(spark, f"{path}/*/*.csv", in_path=True) for path in paths)
+    return RD.snapshot_table(old.unionByName(new, allowMissingColumns=True))
+
+
+@register("geocoded_scan", with_views("""
+SELECT address_id, geocode_status, county_fips, county_name, latitude, longitude FROM v_geocoded"""))
+def geocoded_scan(spark, sf):
+    """S6 + W6 + X4: the geocoder reply as CSV files that open with a byte
+    order mark, in another column order with a further column, county codes
+    without their leading zero, delivered twice: the first delivery counts."""
+    path = scratch(spark, "reply-csv")
+    geo = bind(spark, sf).geocoded
+    once = geo.withColumn("delivery", F.lit(1))
+    again = geo.withColumns({"delivery": F.lit(2), "geocode_status": F.lit("T"), "latitude": F.lit(0.0)})
+    both = once.unionByName(again).orderBy("delivery", "address_id")
+    C.write_csv_files(both.select(
+        F.col("address_id").alias("\ufeffaddress_id"), F.col("longitude").alias("Longitude"), F.col("latitude").alias("Latitude"),
+        F.col("geocode_status").alias("Status"), F.col("address_full").alias("Address, as sent"),
+        F.regexp_replace("county_fips", "^0", "").alias("CountyFIPS"), F.col("county_name").alias("CountyNAME")), path)
+    return G.read_geocoded(spark, path)
+
+
+_SIX = " UNION ALL ".join(
+    f"SELECT '{period}' AS grain, '{level}' AS level, {key} AS key, {period} AS period, category, {SUMS_SQL} "
+    f"FROM v_base WHERE {key} IS NOT NULL GROUP BY ALL"
+    for period in ("year", "year_month") for level, key in A.LEVEL_KEYS.items())
+
+
+@register("geo_claims_aggregate", with_views(_SIX))
+def geo_claims_aggregate(spark, sf):
+    """S8 + A1: the geocoded claims CSV (ids and codes as text, county codes
+    without their leading zero) read back and rolled up to all six outputs."""
+    path = scratch(spark, "geo-claims-csv")
+    columns = {"servicing_npi": "servicing_id", "hcpcs_code": "code", "year_month": "year_month",
+               "beneficiaries_served_count": "benef", "claims_count": "claims", "total_amount_paid": "paid",
+               **{c: c for c in K.MERGED_COLUMNS if c.startswith("practice_") and c != "practice_country_code"}}
+    rows = bind(spark, sf).merged.select(
+        F.regexp_replace("county_fips", "^0", "").alias("county_fips"),
+        *[F.col(have).alias(name) for name, have in reversed(columns.items())],
+        *[F.lit(None).cast("string").alias(c) for c in K.MERGED_COLUMNS if c not in columns])
+    C.write_csv_files(rows, path)
+    claims = A.categorised_base(RD.read_geo_claims(spark, path), A.fips_dimension(spark))
+    return A.multi_level_aggregate(claims, A.LEVEL_KEYS, ("year", "year_month")).select(
+        "grain", "level", "key", "period", "category", "total_beneficiaries_served", "total_claims", "total_amount_paid")
 
 
 @register("enrollment_scan", with_views("""

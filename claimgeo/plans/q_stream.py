@@ -12,7 +12,7 @@ from pyspark.sql.types import DecimalType, LongType, StringType, StructField, St
 from ..functions import scalars as X
 from ..session import checkpoint_dir
 from ..sources.sinks import write_by_month
-from ..streaming.incremental import run_incremental
+from ..streaming.incremental import build_months, finished_months, run_incremental
 from .catalog import bind, register
 from .oracle_views import with_views
 
@@ -36,14 +36,18 @@ def monthly_category(full: DataFrame) -> DataFrame:
         F.sum("paid").cast("decimal(38,2)").alias("total_amount_paid"))
 
 
-@register("incremental_months", with_views("""
+_MONTHLY_SELECT = """
 SELECT d.year_month AS ym, coalesce(r.label, 'Uncategorized') AS category,
        CAST(sum(benef) AS BIGINT) AS total_beneficiaries_served, CAST(sum(claims) AS BIGINT) AS total_claims,
        CAST(sum(paid) AS DECIMAL(38,2)) AS total_amount_paid
 FROM v_dental d LEFT JOIN cat_ranges r
   ON CASE WHEN regexp_full_match(d.code, 'D[0-9]{4}') THEN CAST(substr(d.code, 2, 4) AS INTEGER) END
      BETWEEN r.lo AND r.hi
-GROUP BY ALL"""))
+GROUP BY ALL"""
+_MONTHLY = with_views(_MONTHLY_SELECT)
+
+
+@register("incremental_months", _MONTHLY)
 def incremental_months(spark, sf):
     """I2 + K1: dental rows land month-partitioned in two arrivals (the second
     holds the later months plus a late file for an already-processed month);
@@ -64,3 +68,20 @@ def incremental_months(spark, sf):
     run_incremental(spark, src, dst, ck, INPUT_SCHEMA, monthly_category)
     return spark.read.schema(OUTPUT_SCHEMA).parquet(dst).select(
         "ym", "category", "total_beneficiaries_served", "total_claims", "total_amount_paid")
+
+
+@register("forced_rebuild", with_views("""
+SELECT m.*, 'forced' AS made_by FROM (""" + _MONTHLY_SELECT + """) m"""))
+def forced_rebuild(spark, sf):
+    """A stream run lists its months in the manifest; then the output of
+    every month is spoilt, and a forced build makes and lists all anew."""
+    root = os.path.join(checkpoint_dir(spark), f"rebuild-{uuid.uuid4().hex}")
+    src, dst, ck, manifest = (os.path.join(root, p) for p in ("src", "dst", "checkpoint", "manifest"))
+    rows = bind(spark, sf).dental.select("servicing_id", "code", "benef", "claims", "paid", F.col("year_month").alias("ym"))
+    write_by_month(rows, src, mode="append")
+    run_incremental(spark, src, dst, ck, INPUT_SCHEMA, monthly_category, manifest=manifest)
+    write_by_month(monthly_category(rows).withColumn("total_claims", F.lit(-1).cast("long")), dst)
+    build_months(spark, src, dst, manifest, INPUT_SCHEMA, monthly_category, force=True)
+    out = spark.read.schema(OUTPUT_SCHEMA).parquet(dst).select(
+        "ym", "category", "total_beneficiaries_served", "total_claims", "total_amount_paid")
+    return out.join(finished_months(spark, manifest).select("ym", "made_by"), "ym")

@@ -39,13 +39,16 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | No
 
 def read_csv_groups(spark: SparkSession, path_glob: str, multi_line: bool = False) -> list[DataFrame]:
     """Files of several headers: one text DataFrame per header, each with the
-    ``_metadata`` of its files. Names come from a listing that reads no
-    content, headers from the first line of each file (files are few: one per
-    month)."""
-    paths = sorted(r.path for r in spark.read.format("binaryFile").load(path_glob).select("path").collect())
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        groups[tuple(spark.read.options(**READ).csv(p).columns)].append(p)
+    ``_metadata`` of its files. One job finds each file's first line that is
+    not blank (collected: a line a file), and one job per distinct header
+    reads it. Files without a line hold nothing and are in no group."""
+    lines = spark.read.text(path_glob).filter(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    firsts = lines.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for r in firsts.orderBy("path").collect():
+        groups[r.header].append(r.path)
     return [read_csv(spark, files, multi_line=multi_line) for files in groups.values()]
 
 

@@ -30,16 +30,17 @@ def read_claims(spark: SparkSession, path: str, rename: dict[str, str] = K.CLAIM
     return out.withColumn("ym", X.normalize_month("year_month"))
 
 
-def read_snapshots(spark: SparkSession, path_glob: str, name_regex: str = K.SNAPSHOT_NAME_RE) -> DataFrame:
-    """Registry snapshots with the month taken from each file's name.
+def read_snapshots(spark: SparkSession, path_glob: str, name_regex: str = K.SNAPSHOT_NAME_RE, in_path: bool = False) -> DataFrame:
+    """Registry snapshots with the month taken from each file's name, or,
+    with ``in_path``, from its whole path (month folders).
 
     Every column is read as text and by the header of its own file; columns
     that a file lacks are NULL. Files whose name does not match give an empty
     ``ym``; :func:`snapshot_rejects` lists them and the caller drops them.
     """
-    out = None
+    out, where = None, "_metadata.file_path" if in_path else "_metadata.file_name"
     for df in read_csv_groups(spark, path_glob):
-        df = df.withColumn("ym", F.regexp_extract(F.col("_metadata.file_name"), name_regex, 1)) \
+        df = df.withColumn("ym", F.regexp_extract(F.col(where), name_regex, 1)) \
                .withColumn("_file", F.col("_metadata.file_name"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

@@ -8,7 +8,7 @@ that month (idempotent, safe to retry after a lost executor).
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import LEVEL_KEYS, multi_level_aggregate, ndjson_lines
@@ -49,17 +49,26 @@ def write_id_cache(snaps: DataFrame, path: str, sid: str = "npi", ym: str = "ym"
     write_by_month(snaps.select(F.col(sid).alias("npi"), F.col(ym).alias("ym")).dropna(subset=["npi"]), path)
 
 
-def missing_months(wanted: DataFrame, done_path: str, spark=None, ym: str = "ym") -> DataFrame:
-    """Months of ``wanted`` that have no partition under ``done_path``
-    (all of them while nothing is there; any other failure raises)."""
-    spark = spark or wanted.sparkSession
+def month_files(spark: SparkSession, path: str, ym: str = "ym") -> DataFrame:
+    """``(<ym>, path, length, modified)`` of the data files under the month
+    folders of ``path``: a listing, no file is opened. Without the folder
+    there are none; any other failure raises."""
     try:
-        done = spark.read.parquet(done_path)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
+            "recursiveFileLookup", "true").load(path)
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return wanted.select(ym).distinct()
-    return wanted.select(ym).distinct().join(done.select(ym).distinct(), ym, "left_anti")
+        return spark.createDataFrame([], f"{ym} string, path string, length long, modified timestamp")
+    month = F.regexp_extract("path", f"/{ym}=([^/]+)/", 1)
+    return files.select(month.alias(ym), "path", "length", F.col("modificationTime").alias("modified")).filter(month != "")
+
+
+def missing_months(wanted: DataFrame, done_path: str, spark=None, ym: str = "ym") -> DataFrame:
+    """Months of ``wanted`` that have no partition under ``done_path``
+    (all of them while nothing is there), by a listing of its folders."""
+    done = month_files(spark or wanted.sparkSession, done_path, ym).select(ym).distinct()
+    return wanted.select(ym).distinct().join(done, ym, "left_anti")
 
 
 def write_report(df: DataFrame, path: str, order: list[str]) -> None:
