@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -27,6 +27,19 @@ def texts(docs: DataFrame, text_col: str = "text"):
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A name for a helper column that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, for a select; names may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def batch(columns: dict[str, pa.Array | list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()],

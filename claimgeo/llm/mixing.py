@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import columns, cut, free_name, texts
 
 MARGINS = ["source", "lang", "topic"]
 ROUNDS = 8
@@ -108,12 +108,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     values; ones named like the four are replaced.
     """
     names = {"source": source_col, "lang": lang_col}
-    margin = [F.coalesce(F.col(names[m]).cast("string"), F.lit(MISSING)).alias(f"__{m}") for m in ("source", "lang")]
-    margin.append((topic(texts(docs, text_col)) if topic_col is None else
-                   F.coalesce(F.col(topic_col).cast("string"), F.lit(MISSING))).alias("__topic"))
     clash = [c for c in docs.columns if c.lower() in ("mix_topic", "mix_tokens", "mix_rate", "mix_copies")]
-    marked = docs.drop(*clash).select("*", *margin, n_tokens(texts(docs, text_col)).alias("mix_tokens"))
-    keys = [f"__{m}" for m in MARGINS]
+    docs = docs.drop(*clash)
+    keys = [free_name(docs, f"mix_of_{m}") for m in ("source", "lang")] + ["mix_topic"]
+    margin = [F.coalesce(F.col(names[m]).cast("string"), F.lit(MISSING)).alias(k) for m, k in zip(("source", "lang"), keys)]
+    margin.append((topic(texts(docs, text_col)) if topic_col is None else
+                   F.coalesce(F.col(topic_col).cast("string"), F.lit(MISSING))).alias("mix_topic"))
+    marked = docs.select("*", *margin, n_tokens(texts(docs, text_col)).alias("mix_tokens"))
     cells = marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"))
     cells = cells.select(*[F.col(k).alias(m) for k, m in zip(keys, MARGINS)], "tokens")
     rates = cut(rake(cells, MARGINS, targets, rounds, temperature))
@@ -121,8 +122,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rates = rates.select(*[F.col(m).alias(k) for k, m in zip(keys, MARGINS)], F.col("rate").alias("mix_rate"))
     out = marked.join(F.broadcast(rates) if few else rates, keys)
     copies = F.floor("mix_rate") + (uniform(F.col(id_col), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")
-    return out.withColumn("mix_copies", copies).withColumnRenamed("__topic", "mix_topic").drop("__source", "__lang") \
-              .select(*[c for c in docs.columns if c not in clash], "mix_topic", "mix_tokens", "mix_rate", "mix_copies")
+    return out.select(*columns(docs), "mix_topic", "mix_tokens", "mix_rate", copies.alias("mix_copies"))
 
 
 def oracle_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import columns, cut, free_name, texts
 
 # The base patterns and their order. A run of the first class
 # can only match from its start, or from where the last match ended (\G), so
@@ -264,21 +264,25 @@ def bare_spans(spans: Column) -> Column:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every personal-data span of the text replaced by
     ``[KIND]``; overlapping spans become one, of the first one's kind. Null
-    texts stay null; all columns, row count and other values stay."""
+    texts stay null; all columns, whatever their names, row count and other
+    values stay. Repeated rows are redacted alike, rows with a null id by their
+    text; empty texts and tables stay empty; texts of any length are whole."""
     hits = personal_data(docs, id_col, text_col).withColumn(
         "all", F.array_sort(F.concat(bare_spans(F.col("base")), "extra"))).filter(F.size("all") > 0)
-    hits = hits.groupBy("row").agg(F.first("all").alias("all"))         # repeated rows have equal spans
+    hits = hits.groupBy("id", "row").agg(F.first("all").alias("all"))   # repeated rows have equal spans
     merged = F.aggregate("all", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (s.start < F.element_at(acc, -1).end),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1).start.alias("start"), F.element_at(acc, -1).rank.alias("rank"),
             F.greatest(F.element_at(acc, -1).end, s.end).alias("end"))))).otherwise(F.array_append(acc, s)))
-    hits = hits.select(F.col("row").alias("__row"), merged.alias("__spans"))
-    df = docs.withColumn("__row", F.xxhash64(F.col(id_col), texts(docs, text_col))).join(hits, "__row", "left")
+    row, key, spans = (free_name(docs, n) for n in ("pii_row", "pii_id", "pii_spans"))
+    hits = hits.select(F.col("row").alias(row), F.col("id").alias(key), merged.alias(spans))
+    df = docs.select("*", F.xxhash64(F.col(id_col), texts(docs, text_col)).alias(f"{row}_of"))
+    df = df.join(hits, (F.col(f"{row}_of") == F.col(row)) & F.col(id_col).eqNullSafe(F.col(key)), "left")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s.end))
-    kept = F.zip_with(begins, "__spans", lambda b, s: F.concat(
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s.end))
+    kept = F.zip_with(begins, spans, lambda b, s: F.concat(
         F.substring(F.col(text_col), (b + 1).cast("int"), F.coalesce(s.start - b, F.lit(2 ** 31 - 1)).cast("int")),
         F.when(s.isNotNull(), F.element_at(marks, s.rank + 1)).otherwise(F.lit(""))))
-    text = F.when(F.size("__spans") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
-    return df.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
+    return df.select(*[text.alias(text_col) if name == text_col else c for name, c in zip(docs.columns, columns(docs))])

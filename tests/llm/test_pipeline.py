@@ -48,3 +48,49 @@ def test_run_writes_every_stage_and_keeps_clean_documents(spark):
     out = P.run(spark, SF01)
     got = ids(out)
     assert len(got) == len(set(got)) and len(got) > 600
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_of_one_id_and_rows_without_an_id_get_their_own_decisions(spark):
+    docs = table(spark, SF01, "documents")
+    bad = docs.join(toxicity.scores(docs, table(spark, SF01, "labels")).filter("score > 0.8").select("doc_id"), "doc_id").first()
+    item = table(spark, SF01, "benchmark").first().text
+    clean = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(1 << 40, clean[0]), (1 << 40, bad.text), (None, bad.text), (None, "before " + item + " after"),
+            (1 << 41, "so " + item), (1 << 41, clean[1]), (None, clean[2]), (None, clean[3]), (1 << 42, clean[3]),
+            ((1 << 62) + 5, clean[4]), (-3, clean[5]), (-3, clean[5])]
+    given = [(i, t, "en", "s", len(t)) for i, t in rows]
+    extra = spark.createDataFrame(given, FIELDS).selectExpr("*", "1 AS row_name", "2 AS shared_id", "3 AS `a.b`", "4 AS lo")
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars").selectExpr(
+        "*", "1 AS row_name", "2 AS shared_id", "3 AS `a.b`", "4 AS lo")
+    planted = {t for _, t in rows}
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect() if r.text in planted and r.doc_id != bad.doc_id), key=str)
+    both = base.unionByName(extra)
+    first = P.drop_toxic(spark, both, SF01)
+    assert first.columns == both.columns
+    assert kept(first) == sorted([r for r in rows if r[1] != bad.text], key=str)
+    second = P.drop_near_duplicates(spark, both, SF01)
+    assert second.columns == both.columns
+    left = kept(second)
+    assert (1 << 42, clean[3]) in left and (None, clean[3]) not in left and left.count((-3, clean[5])) == 1
+    assert {(1 << 40, clean[0]), (1 << 41, clean[1]), (None, clean[2]), ((1 << 62) + 5, clean[4])} <= set(left)
+    assert all(t != bad.text for _, t in left)                   # the copy with an id of its own is the one kept
+    third = P.drop_contaminated(spark, both, SF01)
+    assert third.columns == both.columns
+    assert kept(third) == sorted([r for r in rows if item not in r[1]], key=str)
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    names = ["__row", "__spans", "__source", "__lang", "__topic", "pii_row", "pii_id", "pii_spans", "mix_of_source",
+             "mix_of_lang", "a.b", "pii_row_of"]
+    rows = [(1, "mail me@site.org now", "en", "s", 20), (None, "mail me@site.org now", "en", "s", 20), (2, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, FIELDS).selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names)])
+    red = P.redact(spark, docs, SF01)
+    assert red.columns == docs.columns
+    got = {(r.doc_id, r.text, r.n_chars, *r[5:]) for r in red.collect()}
+    assert got == {(1, "mail [EMAIL] now", 16, *range(12)), (None, "mail [EMAIL] now", 16, *range(12)), (2, None, 0, *range(12))}
+    mixed = P.mixing.mixed(red)
+    assert mixed.columns == docs.columns + ["mix_topic", "mix_tokens", "mix_rate", "mix_copies"]
+    assert {(r.doc_id, r.text, r.n_chars, *r[5:-4]) for r in mixed.collect()} == got
