@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgeo.llm import decontam, mixing, pii, simhash, toxicity
-from claimgeo.llm.common import columns, free_name, table
+from claimgeo.llm.common import columns, cut, free_name, table
 from claimgeo.session import checkpoint_dir
 
 
 UNNAMED = 1 << 62          # ids from here on are names made from hashes
+BROADCAST_IDS = 100_000    # ids that several texts have: a megabyte of numbers; more are joined by a shuffle
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -36,12 +37,17 @@ def _named(docs: DataFrame) -> tuple[DataFrame, str]:
     an id with several texts or of one from 2^62 on are named by 62 bits of a
     hash of id and text. Only rows of the latter kinds could share a name by
     chance (in 10^9 of them with probability 0.1). A null and an empty text are
-    the same. No row is named differently by a second evaluation.
+    the same. No row is named differently by a second evaluation. The ids of
+    several texts are found once, by numbers only; up to ``BROADCAST_IDS`` of
+    them are broadcast, so that no text is shuffled for its name.
     """
     name, shared = free_name(docs, "row_name"), free_name(docs, "shared_id")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     several = (docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(shared))
                .agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo <> hi").select(shared))
+    several = cut(several)
+    if several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
     made = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2)
     own = F.col("doc_id").isNotNull() & F.col(shared).isNull() & (F.col("doc_id") < UNNAMED)
     marked = docs.join(several, docs["doc_id"] == several[shared], "left")
