@@ -33,11 +33,13 @@ def layer_values(agg: DataFrame, extra: list[str] = ()) -> DataFrame:
 
 
 def level_layer_values(base: DataFrame, levels: dict[str, str], period: str = "year") -> DataFrame:
-    """Per (level, key, period, layer) sums straight from claim rows in one
-    aggregate: every row is exploded map-side into its (level, layer) and
-    (level, 'all') keys, the partial aggregate collapses them before the
-    shuffle, and one group-by yields every region value of every level and
-    layer. Rows without a layer (Uncategorized) count only in 'all'."""
+    """Per (level, key, period, layer) sums from claim rows: they are first
+    aggregated to a fine table over all level keys, period and category, and
+    only its rows are exploded into their (level, layer) and (level, 'all')
+    keys, for one group-by of every region value of every level and layer.
+    Rows without a layer (Uncategorized) count only in 'all'."""
+    keys = list(dict.fromkeys([*levels.values(), period, "category"]))
+    base = base.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in ("benef", "claims", "paid")])
     lay = X.layer_key("category")
     specs = []
     for level, k in levels.items():
