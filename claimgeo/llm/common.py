@@ -22,6 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a DataFrame that is no longer held
+    when the driver's JVM collects it, which may be long after: ask for it
+    between the steps of a long job."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, text_col: str = "text"):
     """The text column with nulls as empty text."""
     return F.coalesce(F.col(text_col), F.lit(""))

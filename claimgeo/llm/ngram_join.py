@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import batch, cut, texts, whole_groups
+from .common import batch, cut, free_shuffles, texts, whole_groups
 from .graph import components
 
 SHINGLE = 3
@@ -179,13 +179,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def core(met: DataFrame, nodes: DataFrame, rounds: int = 2) -> DataFrame:
-    """The entries of nodes that can be in a link. A link has at least t of a
-    node's n shingles; fewer are left if of its prefix fewer than l are held by
-    others. What goes may leave shingles with one node, hence the rounds."""
+def core(met: DataFrame, nodes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """The entries of nodes that can be in a link. The ends of a link share l
+    shingles among their first ``prefix_length(n, l)``, for the smaller l of
+    the two, so each of these shingles is held by a node whose own l is as
+    small. (What of a prefix only its node holds may well be common: the other
+    end's prefix may end before it.) What goes may leave shingles with one
+    node, hence the rounds."""
+    start = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
     for _ in range(rounds):
-        able = (met.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("m")).join(nodes.select("node", "matches"), "node")
-                .filter("m >= matches").select("node"))
+        rows = met.select("token", "node", "pos").join(nodes.select("node", "n", "matches"), "node")
+        low = rows.groupBy("token").agg(F.min("matches").alias("low"))
+        enough = F.lit(False)
+        for l in MATCHES:
+            enough |= F.count_if((F.col("low") <= l) & (F.col("matches") >= l) & (F.col("pos") < start + l)) >= l
+        able = rows.join(low, "token").groupBy("node").agg(enough.alias("able")).filter("able").select("node")
         met = met.select("token", "node", "pos").join(able, "node")
         met = met.join(met.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "token")
     return met
@@ -268,7 +276,9 @@ def joined(classed: DataFrame, links: DataFrame) -> DataFrame:
     between = (links.join(classed.toDF("u", "a"), "u").join(classed.toDF("v", "b"), "v")
                .select(F.col("a").alias("u"), F.col("b").alias("v")))
     top = components(between).toDF("class", "top")
-    return cut(classed.join(top, "class", "left").select("node", F.coalesce("top", "class").alias("class")))
+    out = cut(classed.join(top, "class", "left").select("node", F.coalesce("top", "class").alias("class")))
+    free_shuffles(out.sparkSession)
+    return out
 
 
 def crossing(met: DataFrame, classed: DataFrame, nodes: DataFrame, percent: int, part_size: int) -> DataFrame:
@@ -276,34 +286,34 @@ def crossing(met: DataFrame, classed: DataFrame, nodes: DataFrame, percent: int,
     of prefix shingles they share. A shingle that many nodes hold is cut into
     hashed parts and every pair of parts is a group of its own. A pair is
     named where what follows a shared shingle on either side is enough for the
-    intersection asked for, as it is at the first one of every link."""
+    intersection asked for, and the shingle among the first ones that the
+    smaller l of the two asks for, as at the first one of every link."""
     classed = met.join(classed, "node")
     mixed = (classed.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z")
              .select("token"))
-    held = met.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    # What no other node holds cannot be common: at most ``most`` of the n is.
-    sizes = nodes.join(held, "node").select("node", "n", (F.col("n") - F.size("prefix") + F.col("m")).cast("int").alias("most"))
-    rows = classed.join(mixed, "token", "left_semi").join(sizes, "node")
+    rows = classed.join(mixed, "token", "left_semi").join(nodes.select("node", "n", "matches"), "node")
     rows = rows.withColumn("parts", F.ceil(F.col("df") / part_size).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.select("token", "node", "class", "n", "most", "pos", "part",
+    rows = rows.select("token", "node", "class", "n", "matches", "pos", "part",
                        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part",
-                       "node", "class", "n", "most", "pos")
+                       "node", "class", "n", "matches", "pos")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         for g in whole_groups(batches, ["token", "lo", "hi"]):
-            token, lo, hi, part, node, cls, n, most, pos = (g.column(c).to_numpy() for c in (
-                "token", "lo", "hi", "part", "node", "class", "n", "most", "pos"))
+            token, lo, hi, part, node, cls, n, l, pos = (g.column(c).to_numpy() for c in (
+                "token", "lo", "hi", "part", "node", "class", "n", "matches", "pos"))
             new = (np.diff(token) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
             ends = np.concatenate([np.flatnonzero(new) + 1, [len(token)]])
             end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
             for i, j in pairs_of(end):
                 ok = (cls[i] != cls[j]) & ((part[i] != part[j]) | (lo[i] == hi[i]))
-                a, b = n[i], n[j]
+                a, b = n[i].astype(np.int64), n[j].astype(np.int64)
                 least = -(-percent * (a + b) // (100 + percent))         # the intersection asked for
-                ok &= (np.minimum(a - pos[i], b - pos[j]) >= least) & (np.minimum(most[i], most[j]) >= least)
+                smaller = np.minimum(l[i], l[j])
+                ok &= np.minimum(a - pos[i], b - pos[j]) >= least
+                ok &= (pos[i] < prefix_length(a, smaller, percent)) & (pos[j] < prefix_length(b, smaller, percent))
                 i, j = i[ok], j[ok]
                 yield batch({"u": pa.array(np.minimum(node[i], node[j])), "v": pa.array(np.maximum(node[i], node[j]))}, schema)
 
@@ -355,8 +365,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min("id").alias("least"), F.count(F.lit(1)).alias("n_equal"), F.first("n").alias("n"),
         F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
         .withColumn("node", F.monotonically_increasing_id()))
-    met = cut(core(cut(met_entries(nodes, counts, sketch_bits, part_size)), nodes))
+    met = cut(core(cut(met_entries(nodes, counts, sketch_bits, part_size)), nodes, percent))
+    free_shuffles(docs.sparkSession)
     sets = sets_of(met, nodes, docs, id_col, text, words_per_shingle)
+    free_shuffles(docs.sparkSession)
 
     def links(pairs: DataFrame) -> DataFrame:
         return verified(asked(pairs, nodes, percent), nodes, sets, percent)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimgeo.llm import ngram_join
 
@@ -111,6 +112,34 @@ def test_nulls_empty_short_long_repeated_and_clashing_columns(spark):
     assert {r[2] for r in want if r[0] in (4, 6, 11)} == {4}          # 11 is reached over a row without an id
 
 
+def test_every_link_is_among_the_pairs_of_the_join(spark):
+    """Also where the prefix of one end goes on beyond that of the other, and where the ends ask for different numbers."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(102)]
+    rows = [" ".join(base)] + [" ".join(base + [f"own{j}_{i}" for i in range(n)]) for j, n in enumerate((10, 10, 9, 3))]
+    rows += [" ".join(base[k:] + [f"end{k}"]) for k in range(6)] + [t for _, t in families(7, 120, 90)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    counts = ngram_join.sketch(docs, "text", 3, 18)
+    made = ngram_join.signed(docs, counts, "doc_id", "text", 3, 90, 18)
+    options = [o for o in ngram_join.MATCHES if o <= 8]
+    for mixed in (False, True):
+        nodes = [r.asDict() for r in made.filter("n > 0").dropDuplicates(["key"]).collect()]
+        sets = {r["id"]: plain_set(rows[r["id"]]) for r in nodes}
+        for r in nodes:
+            if mixed:                                 # any l of its own, as hot shingles would make it
+                h = ngram_join.shingles(rows[r["id"]].encode())
+                c = counts[ngram_join.bucket(h, 18)]
+                r["matches"] = rng.choice([o for o in options if ngram_join.prefix_length(r["n"], o, 90) <= r["n"]])
+                r["prefix"] = h[np.lexsort((h, c))][:ngram_join.prefix_length(r["n"], r["matches"], 90)].view(np.int64).tolist()
+        table = spark.createDataFrame([(r["id"], r["n"], r["matches"], r["prefix"]) for r in nodes],
+                                      "node long, n int, matches int, prefix array<long>").localCheckpoint()
+        met = ngram_join.core(ngram_join.met_entries(table, counts, 18, 1024), table, 90).localCheckpoint()
+        pairs = ngram_join.crossing(met, table.select("node", F.col("node").alias("class")), table, 90, 16)
+        found = {(r.u, r.v) for r in ngram_join.asked(pairs, table, 90).collect()}
+        links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+        assert len(links) >= 50 and links <= found
+
+
 def test_empty_table(spark):
     assert got(ngram_join.similar_sets(spark.createDataFrame([], "doc_id long, text string"))) == []
 
