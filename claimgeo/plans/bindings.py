@@ -7,8 +7,9 @@ reply and the survey denominators, all by key arithmetic. These are
 synthetic role assignments; the numbers carry no health meaning.
 
 Every view is a lazy DataFrame derived from the input tables, so its size
-grows with them. Nothing here collects to the driver; the month range that
-spans the snapshots is a scalar subquery evaluated by Spark.
+grows with them. Nothing here collects to the driver but two row counts, which
+say into how many tasks to deal; the month range that spans the snapshots is a
+scalar subquery evaluated by Spark.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators.snapshot import filter_code_prefix, snapshot_join
+from ..session import room_for
 
 # Fixture assignment (not a reference value): nation key 0..23 -> state FIPS
 # prefix; nation 24 and anything else -> '99', a prefix that maps to no state.
@@ -29,6 +31,9 @@ FIXTURE_NATION_STATE = (
 )
 UNMAPPED_STATE = "99"
 
+# Providers that one task pairs with every month (some 100 rows each).
+PROVIDERS_A_TASK = 10_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -177,9 +182,14 @@ class Bindings:
 
         The month range is two scalar subqueries; each provider explodes
         that (calendar-bounded) range and an equi join keeps the months that
-        occur, so the plan has no cartesian product.
+        occur, so the plan has no cartesian product. The registry is a small
+        file, often one task's: its providers are dealt over tasks before
+        each becomes a row a month.
         """
         lo, hi = self._month_range()
+        tasks = prov.count() // PROVIDERS_A_TASK + 1
+        if tasks > 1:
+            prov = prov.repartition(tasks, "k")
         exploded = prov.withColumn("mi", F.explode(F.sequence(lo, hi)))
         return exploded.join(F.broadcast(self.months), "mi")
 
@@ -202,6 +212,7 @@ class Bindings:
 
     @cached_property
     def merged(self) -> DataFrame:
+        room_for(self.spark, self.claims.count())
         return self.addressed(snapshot_join(self.dental, self.snapshots))
 
     def addressed(self, joined: DataFrame) -> DataFrame:

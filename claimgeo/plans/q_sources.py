@@ -16,7 +16,7 @@ from ..operators import export as E
 from ..operators import geocode as G
 from ..operators import rates as R
 from ..operators import snapshot as S
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, room_for
 from ..sources import bucketed as B
 from ..sources import csv as C
 from ..sources import publish as P
@@ -279,9 +279,13 @@ def published_audit(spark, sf):
     return P.publish_outputs(base(spark, sf), scratch(spark, "outputs"), A.fips_dimension(spark))
 
 
-def bucketed_inputs(spark, sf, buckets: int = 4):
-    """Claims and registry of the fixture as tables bucketed by id in each month."""
+def bucketed_inputs(spark, sf, rows_a_bucket: int = 2_000_000):
+    """Claims and registry of the fixture as tables bucketed by id in each
+    month, with as many buckets as their rows ask for."""
     b = bind(spark, sf)
+    rows = b.claims.count()
+    room_for(spark, rows)
+    buckets = B.buckets_for_rows(rows + b.snapshots.count(), rows_a_bucket)
     tables = []
     for name, df, key, month in (("claims", b.claims, "servicing_id", "year_month"), ("registry", b.snapshots, "npi", "ym")):
         table = f"claimgeo_{name}_{uuid.uuid4().hex}"

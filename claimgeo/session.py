@@ -82,3 +82,13 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
     for k, v in conf.items():
         spark.conf.set(k, v)
     return conf
+
+
+def room_for(spark: SparkSession, rows: int, rows_a_partition: int = 500_000) -> int:
+    """At least so many shuffle partitions that one holds ``rows_a_partition``
+    of ``rows``: the number set for the session is raised, never lowered (AQE
+    joins small ones again), and returned. Nothing here changes results."""
+    name = "spark.sql.shuffle.partitions"
+    n = max(int(spark.conf.get(name)), -(-rows // rows_a_partition))
+    spark.conf.set(name, str(n))
+    return n

@@ -3,7 +3,8 @@
 Claims and registry landed with the same number of buckets join month by
 month without an exchange: a task of the join reads one bucket of either
 side. The number of buckets is fixed when they are written; take it so that a
-bucket of the claims fits a task (``buckets_for``).
+bucket of the claims fits a task (``buckets_for``; ``buckets_for_rows`` where
+a scan reads more than one month).
 
 A bucketed join cannot split a hot id, and ids that stand for "unknown" are
 the hot ones. They are kept out of it by their class: an id that is not ten
@@ -26,6 +27,13 @@ def buckets_for(input_bytes: int, months: int = 1, target_bytes: int = 256 * 102
     return 1 << (n - 1).bit_length()
 
 
+def buckets_for_rows(rows: int, rows_a_bucket: int = 2_000_000, least: int = 4) -> int:
+    """Buckets for tables of ``rows`` rows in all whose months are read
+    together: a bucketed scan gives one bucket of all months to one task,
+    which sorts it. A power of two, as in :func:`buckets_for`."""
+    return max(least, 1 << (max(1, -(-rows // rows_a_bucket)) - 1).bit_length())
+
+
 def is_matchable(sid: str | Column) -> Column:
     """Ids that a registry can hold: ten digits, not all the same. NULL is not."""
     c = F.col(sid) if isinstance(sid, str) else sid

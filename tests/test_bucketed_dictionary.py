@@ -11,8 +11,11 @@ from claimgeo.operators import address as AD
 from claimgeo.operators import geocode as G
 from claimgeo.operators import quality as Q
 from claimgeo.operators import snapshot as S
-from claimgeo.plans.catalog import QUERIES, bind
+from claimgeo.plans.catalog import QUERIES, bind  # fills the registry, bindings come after
+from claimgeo.plans import bindings
+from claimgeo.plans.bindings import Bindings
 from claimgeo.plans.q_sources import bucketed_inputs
+from claimgeo.session import room_for
 from claimgeo.sources import bucketed as B
 
 from .conftest import SF001
@@ -133,3 +136,27 @@ def test_waterfall_with_repeated_registry_rows_and_unknown_ids(spark):
     assert got == [("source", 9, 0), ("code_filter", 8, 1), ("snapshot_join", 6, 2), ("geocoded", 3, 3)]
     empty = Q.loss_waterfall_once(claims.limit(0), registry, F.col("code").startswith("D"), G.located()).collect()
     assert [(r.rows, r.dropped, r.dropped_pct) for r in empty] == [(0, 0, 0.0)] * 4
+
+
+def test_buckets_follow_the_rows(spark):
+    assert [B.buckets_for_rows(n) for n in (0, 8_000_000, 8_000_001, 240_000_000)] == [4, 4, 8, 128]
+    claims, _ = bucketed_inputs(spark, SF001, rows_a_bucket=400)
+    assert len({f.rsplit("_", 1)[1].split(".")[0] for f in claims.inputFiles()}) > 4
+
+
+def test_the_shuffle_partitions_follow_the_rows(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        assert room_for(spark, 10) == int(before) and spark.conf.get(name) == before
+        assert room_for(spark, 10_000_001) == 21 and spark.conf.get(name) == "21"
+        assert room_for(spark, 10) == 21                       # never lowered
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_providers_are_dealt_over_tasks_before_they_become_months(spark, monkeypatch):
+    want = sorted(map(tuple, Bindings(spark, SF001).snapshots.collect()))
+    monkeypatch.setattr(bindings, "PROVIDERS_A_TASK", 3)
+    dealt = Bindings(spark, SF001).snapshots
+    assert "REPARTITION_BY_NUM" in plan(dealt) and sorted(map(tuple, dealt.collect())) == want
