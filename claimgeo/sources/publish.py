@@ -68,9 +68,10 @@ def state_is_counties(outputs: DataFrame, fips_map: DataFrame) -> DataFrame:
         F.lit("state").alias("level"), F.lit("state_is_counties").alias("check"), "n_bad")
 
 
-def audit(spark: SparkSession, root: str, fips_map: DataFrame) -> DataFrame:
-    """A3 on stored files: ``(level, check, n_bad, ok)``, ten rows."""
-    outputs = read_outputs(spark, root)
+def audit(spark: SparkSession, root: str, fips_map: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """A3 on stored files: ``(level, check, n_bad, ok)``, ten rows.
+    ``outputs``: their records, if the caller keeps them."""
+    outputs = read_outputs(spark, root) if outputs is None else outputs
     levels = spark.createDataFrame([(x,) for x in LEVEL_KEYS], "level string")
     lines = levels.join(repeated_lines(spark, root), "level", "left").select(
         "level", F.lit("one_line_a_key").alias("check"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
@@ -99,8 +100,11 @@ def publish_staged(spark: SparkSession, staging: str, target: str, fips_map: Dat
     """Audit what lies in ``staging`` and move it to ``target`` if every check
     holds. Returns the checks. What was at ``target`` stays as
     ``<target>.before-<n>``."""
-    checks = audit(spark, staging, fips_map)
-    rows = [(r.level, r.check, r.n_bad, r.ok) for r in checks.collect()]
+    outputs = read_outputs(spark, staging).persist()       # several checks read the records, which are parsed once
+    try:
+        rows = [(r.level, r.check, r.n_bad, r.ok) for r in audit(spark, staging, fips_map, outputs).collect()]
+    finally:
+        outputs.unpersist()
     failures = [(c, level, n) for level, c, n, ok in rows if not ok]
     if failures:
         raise AuditError(staging, failures)
