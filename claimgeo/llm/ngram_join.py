@@ -16,9 +16,11 @@ Every prefix shingle that several nodes hold first links each to one of them,
 the one with the fewest shingles of its own, then those still apart to a few
 more (so many pairs an entry, never all pairs), and what verifies is joined into
 classes. Only then are the pairs of a shingle spelled out that lie in two
-different classes; no other pair can change a class. Verification is exact:
-the sets of the nodes that can be in a pair are read again from the texts,
-once, and intersected.
+different classes; no other pair can change a class. Before a pair is
+verified, a small sketch of either set bounds their difference from below,
+which leaves out almost all pairs that are no links and never a link.
+Verification is exact: the texts of the pairs left are read again, only they
+are shuffled, and their sets intersected.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -41,6 +43,7 @@ SKETCH_BITS = 18
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 TRIES = 8                            # further members of its class that a node is tried against
 ENTRY_COST = 4.0                     # an entry met in the index, in shingles compared
+MARK_WORDS = 1 << 18                 # longs in the marks of the ids whose texts are read again
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,6 +73,16 @@ def prefix_length(n: int, matches: int, percent: int) -> int:
     return n - -(-percent * n // 100) + matches
 
 
+def odd_bits(h: np.ndarray) -> np.ndarray:
+    """Odd sketch of a set: as many bits as the least power of two (64 or
+    more) that is not below its size, each the parity of the elements hashed
+    to it. Two of them differ in no more bits than their sets in elements; a
+    wide one's longs xored with those half the width on give the narrower one."""
+    words = 1 << max(0, (len(h) - 1).bit_length() - 6)
+    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def choose_matches(met: np.ndarray, n: int, percent: int, options: tuple[int, ...] = MATCHES) -> int:
     """The l of least estimated cost for a set whose shingles, in the global
     order, are expected to be met ``met`` times each: entries met in the
@@ -109,22 +122,23 @@ def sketch(docs: DataFrame, text_col: str, words_per_shingle: int, bits: int) ->
 
 def signed(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, words_per_shingle: int, percent: int,
            bits: int) -> DataFrame:
-    """``(id, key, n, matches, prefix)`` per row: a 128-bit hash of the set,
-    its size, its l and its prefix in the global order."""
+    """``(id, key, n, matches, prefix, odd)`` per row: a 128-bit hash of the
+    set, its size, its l, its prefix in the global order and its odd sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))
     usual = float(counts.mean())                     # what a bucket holds beside the shingle asked for
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("matches", pa.int32()),
-                        ("prefix", pa.list_(pa.int64()))])
+                        ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches):
         count = sent.value
         for b in batches:
-            keys, sizes, ls, prefixes = [], [], [], []
+            keys, sizes, ls, prefixes, odds = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t, words_per_shingle)
                 n = len(h)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(n)
+                odds.append(odd_bits(h))
                 if not n:
                     ls.append(0)
                     prefixes.append([])
@@ -134,32 +148,36 @@ def signed(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, word
                 l = choose_matches(np.maximum(c[by] - 1.0 - usual, 0.02), n, percent)
                 ls.append(l)
                 prefixes.append(h[by[:prefix_length(n, l, percent)]].view(np.int64))
-            yield batch({"id": b.column(0), "key": keys, "n": sizes, "matches": ls, "prefix": prefixes}, schema)
+            yield batch({"id": b.column(0), "key": keys, "n": sizes, "matches": ls, "prefix": prefixes, "odd": odds}, schema)
 
     return (docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), texts(docs, text_col).cast("binary").alias("t"))
-            .mapInArrow(run, "id long, key binary, n int, matches int, prefix array<long>"))
+            .mapInArrow(run, "id long, key binary, n int, matches int, prefix array<long>, odd array<long>"))
 
 
 def met_entries(nodes: DataFrame, counts: np.ndarray, bits: int, part_size: int) -> DataFrame:
-    """``(token, node, pos)``: the prefix entries whose shingle several
-    nodes hold. Entries of a shingle that the counts show to be frequent are
-    dealt over several keys, as many for all its entries."""
+    """``(token, node, pos, matches, low)``: the prefix entries whose shingle
+    several nodes hold, with the l of their node and the least l of the
+    shingle's nodes. Entries of a shingle travel once, to one task; those that
+    the counts show to be frequent are dealt over several keys, as many for
+    all entries of a shingle."""
     spare = np.maximum(counts - 4 * counts.mean(), 0)
     hot = np.flatnonzero(spare > part_size)
     spark = nodes.sparkSession
     table = spark.createDataFrame([(int(b), int(spare[b] // part_size) + 1) for b in hot], "bucket long, parts int")
-    of = F.shiftrightunsigned("token", 64 - bits)
-
-    def parted(df: DataFrame) -> DataFrame:          # at most 2**bits rows are broadcast
-        return (df.withColumn("bucket", of).join(F.broadcast(table), "bucket", "left").drop("bucket")
-                .withColumn("parts", F.coalesce("parts", F.lit(1))))
-
-    entries = nodes.select("node", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = parted(shared).select("token", "df", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = parted(entries).select("token", "node", "pos", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    entries = (nodes.select("node", "matches", F.posexplode("prefix").alias("pos", "token"))
+               .withColumn("bucket", F.shiftrightunsigned("token", 64 - bits)))
+    kept = ["token", "node", "pos", "matches", "low"]
+    of = Window.partitionBy("token")                 # a rare shingle: as many entries as its bucket's count at most
+    rare = (entries.join(F.broadcast(table), "bucket", "left_anti").drop("bucket")
+            .withColumn("df", F.count(F.lit(1)).over(of)).withColumn("low", F.min("matches").over(of)).filter("df > 1").select(kept))
+    if not len(hot):
+        return rare
+    entries = entries.join(F.broadcast(table), "bucket").drop("bucket")          # at most 2**bits rows are broadcast
+    shared = (entries.groupBy("token", "parts").agg(F.count(F.lit(1)).alias("df"), F.min("matches").alias("low")).filter("df > 1")
+              .select("token", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    dealt = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # A merge join at every size: the shared shingles grow with the documents.
-    return dealt.join(shared.hint("merge"), ["token", "part"]).select("token", "node", "pos")
+    return rare.unionByName(dealt.join(shared.hint("merge"), ["token", "part"]).select(kept))
 
 
 def asked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -187,54 +205,86 @@ def core(met: DataFrame, nodes: DataFrame, percent: int, rounds: int = 2) -> Dat
     end's prefix may end before it.) What goes may leave shingles with one
     node, hence the rounds."""
     start = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
+    of = Window.partitionBy("node")                  # one prefix
+    enough = F.lit(False)
+    for l in MATCHES:
+        enough |= F.count_if((F.col("low") <= l) & (F.col("matches") >= l) & (F.col("pos") < start + l)).over(of) >= l
+    kept = ["token", "node", "pos", "n", "matches"]
+    met = met.join(nodes.select("node", "n"), "node")
     for _ in range(rounds):
-        rows = met.select("token", "node", "pos").join(nodes.select("node", "n", "matches"), "node")
-        low = rows.groupBy("token").agg(F.min("matches").alias("low"))
-        enough = F.lit(False)
-        for l in MATCHES:
-            enough |= F.count_if((F.col("low") <= l) & (F.col("matches") >= l) & (F.col("pos") < start + l)) >= l
-        able = rows.join(low, "token").groupBy("node").agg(enough.alias("able")).filter("able").select("node")
-        met = met.select("token", "node", "pos").join(able, "node")
-        met = met.join(met.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "token")
-    return met
-
-
-def sets_of(met: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """``(key, elements)``: the sets of the nodes of ``met``, from the texts
-    of their first documents; a task gives each once."""
-    schema = pa.schema([("key", pa.binary()), ("elements", pa.list_(pa.int64()))])
+        met = met.withColumn("able", enough).filter("able").select(kept)
+        left = met.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("matches").alias("low")).filter("df > 1")
+        met = met.join(left, "token")
+    return met.select("token", "node", "pos", "df")
+
+
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` whose odd sketches do not show that the sets
+    differ in more elements than a link may."""
+    sides = nodes.select("node", "n", "odd")
+    both = pairs.join(sides.toDF("u", "n_u", "x"), "u").join(sides.toDF("v", "n_v", "y"), "v")
+    words = F.least(F.size("x"), F.size("y"))
+
+    def narrow(c: str):                              # half as wide; wider than that the sizes of a link are not
+        halves = F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(c) > words, halves).otherwise(F.col(c))
+
+    differ = F.aggregate(F.zip_with(narrow("x"), narrow("y"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    # |x n y| >= percent |x u y| / 100 allows this much of |x| + |y| outside the intersection.
+    possible = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_u") + F.col("n_v"))
+    return both.filter((F.greatest(F.size("x"), F.size("y")) > 2 * words) | possible).select(*pairs.columns)
+
+
+def marked(rows: DataFrame, need: DataFrame, words: int = MARK_WORDS) -> DataFrame:
+    """The rows whose ``id`` is in ``need`` and few others: a hash of each id
+    asked for sets one of 64 * ``words`` bits, and that table is broadcast, of
+    the same size at any size of ``need``."""
+    h = F.xxhash64("id")
+    word, bit = h.bitwiseAND(words - 1), F.shiftrightunsigned(h, 58).cast("int")
+    marks = (need.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    return (rows.withColumn("word", word).join(F.broadcast(marks), "word").filter(F.getbit("bits", bit) == 1)
+            .drop("word", "bits"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int,
+             percent: int) -> DataFrame:
+    """Of the pairs ``(u, v)`` those whose sets have the Jaccard asked for.
+    The sets are made again from the texts of the nodes' first documents; only
+    the two texts of a pair travel, each once a pair."""
+    ends = written(pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+                   .join(nodes.select("node", "key", F.col("least").alias("id")), "node").select("u", "v", "key", "id"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), texts(docs, text_col).cast("binary").alias("t"))
+    # Merge joins at every size: what is asked grows with the documents.
+    found = marked(rows, ends.select("id")).toDF("doc", "t")
+    both = (ends.hint("merge").join(found, F.col("id").eqNullSafe(F.col("doc"))).select("u", "v", "key", "t")
+            .repartition("u", "v").sortWithinPartitions("u", "v"))
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        seen = set()
+        at, sets, before = None, {}, {}
         for b in batches:
-            keys, sets = [], []
-            for t in b.column(0).to_pylist():
-                h = shingles(t, words_per_shingle)
-                key = xxhash.xxh3_128_digest(h.tobytes())
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(h.view(np.int64))
-            yield batch({"key": keys, "elements": sets}, schema)
-
-    need = written(nodes.join(met.select("node").distinct(), "node").select("least").distinct())
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), texts(docs, text_col).cast("binary").alias("t"))
-    found = (rows.join(need.hint("merge"), F.col("id").eqNullSafe(F.col("least")), "left_semi").select("t")
-             .mapInArrow(run, "key binary, elements array<long>"))
-    return written(found)
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``(u, v)`` those whose sets have the Jaccard asked for.
-    Only the two sets of a pair travel, each once a pair."""
-    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node")).join(nodes.select("node", "key"), "node")
-    # Merge joins at every size: what is asked grows with the documents.
-    both = written(ends).hint("merge").join(sets, "key").groupBy("u", "v").agg(
-        *[F.first(F.when(F.col("node") == F.col(e), F.col("elements")), ignorenulls=True).alias(name)
-          for e, name in (("u", "x"), ("v", "y"))])
-    common = F.size(F.array_intersect("x", "y"))
-    return (both.select("u", "v", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-            .filter(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("s") - F.col("c"))).select("u", "v"))
+            us, vs = [], []
+            for u, v, key, t in zip(*(c.to_pylist() for c in b.columns)):
+                if at != (u, v):
+                    at, sets, before = (u, v), {}, sets
+                if key in sets:                       # an id or a text may be repeated
+                    continue
+                h = before.get(key)
+                if h is None:
+                    h = shingles(t, words_per_shingle)
+                    if xxhash.xxh3_128_digest(h.tobytes()) != key:
+                        continue                      # another text of this id
+                sets[key] = h
+                if len(sets) == 2:
+                    x, y = sets.values()
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        us.append(u)
+                        vs.append(v)
+            yield batch({"u": us, "v": vs}, schema)
+
+    return both.mapInArrow(run, "u long, v long")
 
 
 def counted(pairs: DataFrame) -> DataFrame:
@@ -319,8 +369,12 @@ def crossing(met: DataFrame, classed: DataFrame, nodes: DataFrame, percent: int,
 
     rows = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     pairs = rows.mapInArrow(run, "u long, v long").distinct()
-    x, y = (nodes.select(F.col("node").alias(e), F.col("prefix").alias(name)) for e, name in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("x", "y")).alias("shared"))
+    if "odd" in nodes.columns:
+        pairs = written(near(pairs, nodes, percent))
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node")).join(nodes.select("node", "prefix"), "node")
+    both = ends.groupBy("u", "v").agg(*[F.first(F.when(F.col("node") == F.col(e), F.col("prefix")), ignorenulls=True).alias(name)
+                                        for e, name in (("u", "x"), ("v", "y"))])
+    return both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
 def pairs_of(end: np.ndarray, chunk: int = 1 << 20):
@@ -355,30 +409,35 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     link like others; a component of such rows alone has the id null. Repeated
     rows each get their row. Ties (equal counts in the global order) go by the
     shingle's hash and change no result. An empty table gives an empty result.
-    Whole texts are used, however long; a task holds one set at a time (two
+    Whole texts are used, however long; a task holds one set at a time (four
     in verification). Other columns, whatever their names, are ignored.
     """
     text = f"`{text_col}`"
     counts = sketch(docs, text, words_per_shingle, sketch_bits)
     made = cut(signed(docs, counts, id_col, text, words_per_shingle, percent, sketch_bits))
     nodes = cut(made.filter("n > 0").groupBy("key").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("n_equal"), F.first("n").alias("n"),
-        F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("n_equal"),
+        *[F.first(c).alias(c) for c in ("n", "matches", "prefix", "odd")])
         .withColumn("node", F.monotonically_increasing_id()))
-    met = cut(core(cut(met_entries(nodes, counts, sketch_bits, part_size)), nodes, percent))
+    made = cut(made.select("id", "n", "key"))        # the prefixes are held once from here on
     free_shuffles(docs.sparkSession)
-    sets = sets_of(met, nodes, docs, id_col, text, words_per_shingle)
+    met = cut(met_entries(nodes, counts, sketch_bits, part_size))
+    free_shuffles(docs.sparkSession)
+    met = cut(core(met, nodes, percent))
     free_shuffles(docs.sparkSession)
 
     def links(pairs: DataFrame) -> DataFrame:
-        return verified(asked(pairs, nodes, percent), nodes, sets, percent)
+        return verified(pairs, nodes, docs, id_col, text, words_per_shingle, percent)
+
+    def drawn(pairs: DataFrame) -> DataFrame:
+        return links(near(asked(pairs, nodes, percent), nodes, percent))
 
     front = cut(fronts(met, nodes))
     classed = nodes.select("node", F.col("node").alias("class"))
     first = F.explode(F.array_distinct(F.concat(F.array("front"), "others")))
-    classed = joined(classed, links(counted(met.join(front, "token").select(F.col("node").alias("a"), first.alias("b")))))
-    classed = joined(classed, links(apart(met, front, classed, tries)))
-    classed = joined(classed, links(crossing(met, classed, nodes, percent, part_size)))
+    classed = joined(classed, drawn(counted(met.join(front, "token").select(F.col("node").alias("a"), first.alias("b")))))
+    classed = joined(classed, drawn(apart(met, front, classed, tries)))
+    classed = joined(classed, links(asked(crossing(met, classed, nodes, percent, part_size), nodes, percent)))
     classes = nodes.join(classed, "node").select("key", "least", "n_equal", F.col("class").alias("root"))
     first = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(first, "root").select("key", "n_equal", "component_id")

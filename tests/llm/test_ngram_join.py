@@ -140,6 +140,49 @@ def test_every_link_is_among_the_pairs_of_the_join(spark):
         assert len(links) >= 50 and links <= found
 
 
+def test_only_pairs_that_may_be_links_are_verified(spark, monkeypatch):
+    """Texts 0.6 to 0.8 alike share prefix shingles; their whole texts or sets must not travel for that."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(8):
+        base = [f"b{f}_{i}" for i in range(300)]
+        for k in range(30):
+            at = rng.randrange(270)
+            rows.append((len(rows), " ".join(base[:at] + [f"own{f}_{k}_{i}" for i in range(22)] + base[at + 22:])))
+    rows += [(1000 + i, t + " end") for i, t in rows[::40]]
+    asked, real = [], ngram_join.verified
+
+    def counting(pairs, *rest):
+        pairs = pairs.localCheckpoint()
+        asked.append(pairs.count())
+        return real(pairs, *rest)
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    want = plain(rows)
+    assert got(ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len(rows) - len({r[2] for r in want}) == 6 and 6 <= sum(asked) <= 20
+
+
+def test_odd_sketches_bound_the_difference_at_any_two_widths():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((0, 0, 0), (1, 1, 0), (64, 65, 60), (120, 130, 118), (1000, 1030, 950), (3000, 3000, 0)):
+        h = np.unique(rng.integers(0, 2 ** 64, n + m, dtype=np.uint64))
+        x, y = h[:n], h[n - common:n - common + m]
+        a, b = ngram_join.odd_bits(x), ngram_join.odd_bits(y)
+        for wide in (a, b):
+            assert len(wide) & (len(wide) - 1) == 0
+        while len(a) != len(b):
+            a, b = (a[:len(a) // 2] ^ a[len(a) // 2:], b) if len(a) > len(b) else (a, b[:len(b) // 2] ^ b[len(b) // 2:])
+        differ = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+        assert differ <= len(np.setxor1d(x, y)) and (differ > 0) == (len(np.setxor1d(x, y)) > 0)
+
+
+def test_marks_keep_all_ids_asked_for_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).selectExpr("id", "'t' AS t").unionAll(spark.sql("SELECT CAST(NULL AS LONG), 'n'"))
+    need = spark.sql("SELECT id * 7 AS id FROM range(-50, 50) UNION ALL SELECT NULL")
+    kept = [r.id for r in ngram_join.marked(rows, need, 1 << 10).collect()]
+    assert {7 * i for i in range(-50, 50)} | {None} <= set(kept) and 101 <= len(kept) < 400
+
+
 def test_empty_table(spark):
     assert got(ngram_join.similar_sets(spark.createDataFrame([], "doc_id long, text string"))) == []
 
